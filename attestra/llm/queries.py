@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, quality, secrets, sharding, simhash
+from . import fingerprint, hmm, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_sharding(spark, sf_dir):
     return s.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op3_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_fingerprints(spark, sf_dir):
     return fingerprint.with_neighbours(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,11 @@ def op5_secrets(spark, sf_dir):
     )
 
 
+def op6_substrings(spark, sf_dir):
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +49,10 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_hmm(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -52,7 +65,9 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op4_fingerprints, op5_secrets, op7_quality, op8_mixing, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_sharding, op3_neighbours, op4_fingerprints, op5_secrets, op6_substrings, op7_quality, op8_mixing, op9_hmm, op10_packing, pipeline,
+)}
 
 ORACLE_SQL = {
     "op8_mixing": r"""
@@ -81,5 +96,14 @@ r AS (
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN whole < 2 AND (upto <= budget OR (upto - own <= budget AND upto - budget < budget - (upto - own))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r""",
+    "op6_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d),
+y AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM x),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM y WHERE k > 1) GROUP BY doc_id),
+r AS (SELECT d.doc_id, w, list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(coalesce(gone, []), j)) AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_transform(kept, lambda j: w[j]), ' '), '')) AS kept_sha256
 FROM r""",
 }
