@@ -7,7 +7,7 @@ variants; those at distance 2 meet through one flip each. Of three differing bit
 the same half of the word, so two-flip variants are emitted within a half only (the least number
 that meets every triple). Each fingerprint thus emits 65 or 1,057 variants, not 2,081.
 
-Variants travel packed, some ten bytes each, to the bucket of their hash. There, all that meet in
+Variants travel packed, a fingerprint once and two bytes for each set of flips, to the bucket of their leading bits' hash. There, all that meet in
 a variant in which one of them flips at most once are within the radius of that one, so a star
 around it holds their component; a bucket gives a spanning forest of verified links.
 """
@@ -26,6 +26,8 @@ RADIUS = 3
 FLUSH, PER_BUCKET, BUCKETS = 4096, 2_000_000, 4096
 MEAN_VARIANTS = 561
 SPREAD = 0x9E3779B97F4A7C15
+#: A bucket is a hash of a variant's leading bits, so that variants of other bits travel as one fingerprint and many flips.
+KEY_BITS = 20
 
 
 def flip_masks() -> tuple[np.ndarray, int]:
@@ -82,29 +84,34 @@ def ball_links(fps: DataFrame, n: int) -> DataFrame:
             for i in range(0, len(all_fps), FLUSH):
                 x = all_fps[i : i + FLUSH]
                 even = x[np.bitwise_count(x) % 2 == 0]
-                v = np.concatenate([(x[:, None] ^ masks[None, :near]).ravel(), (even[:, None] ^ masks[None, near:]).ravel()])
+                own = np.concatenate([np.repeat(x, near), np.repeat(even, len(masks) - near)])
                 code = np.concatenate([np.tile(np.arange(near, dtype=np.uint16), len(x)), np.tile(np.arange(near, len(masks), dtype=np.uint16), len(even))])
-                to = ((v * np.uint64(SPREAD)) >> np.uint64(32)) % np.uint64(each * rounds)
+                to = (((own ^ masks[code]) >> np.uint64(64 - KEY_BITS)) * np.uint64(SPREAD) >> np.uint64(32)) % np.uint64(each * rounds)
                 if rounds > 1:
                     mine = to // np.uint64(each) == at
-                    v, code, to = v[mine], code[mine], to[mine]
+                    own, code, to = own[mine], code[mine], to[mine]
                 order = np.argsort(to.astype(np.uint32), kind="stable")
-                v, code, to = v[order], code[order], to[order]
-                starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-                ends = [*starts[1:], len(to)]
-                data = [v[s:e].tobytes() + code[s:e].tobytes() for s, e in zip(starts, ends, strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[starts].astype(np.int64) if len(to) else [], pa.int64()), pa.array(data, pa.binary())], ["bucket", "packed"])
+                own, code, to = own[order], code[order], to[order]
+                edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else [0]
+                data = []
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    f = own[s:e]
+                    cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+                    counts = np.diff(np.r_[cuts, len(f)]).astype(np.uint16)
+                    data.append(len(cuts).to_bytes(8, "little") + f[cuts].tobytes() + counts.tobytes() + code[s:e].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(to[edges[:-1]].astype(np.int64)), pa.array(data, pa.binary())], ["bucket", "packed"])
 
     def meet(t: pa.Table) -> pa.Table:
         masks, near = flip_masks()
-        vs, codes = [], []
+        owns, codes = [], []
         for p in t.column("packed"):
             p = p.as_buffer()
-            k = p.size // 10
-            vs.append(np.frombuffer(p, np.uint64, k))
-            codes.append(np.frombuffer(p, np.uint16, k, 8 * k))
-        v, code = np.concatenate(vs), np.concatenate(codes)
-        del vs, codes
+            k = int.from_bytes(p[:8], "little")
+            owns.append(np.repeat(np.frombuffer(p, np.uint64, k, 8), np.frombuffer(p, np.uint16, k, 8 + 8 * k)))
+            codes.append(np.frombuffer(p, np.uint16, -1, 8 + 10 * k))
+        code = np.concatenate(codes)
+        v = np.concatenate(owns) ^ masks[code]
+        del owns, codes
         order = np.argsort(v)
         s = v[order]
         same = s[1:] == s[:-1]
