@@ -52,7 +52,7 @@ def shutter(c: Column) -> Column:
 
 def keywords(c: Column) -> Column:
     """The trimmed parts of a list separated by commas or semicolons."""
-    return F.filter(F.transform(F.split(c, "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def timecode(c: Column) -> Column:

@@ -79,13 +79,15 @@ def sdr_hdr(files: DataFrame) -> DataFrame:
 
 def related_files(files: DataFrame, path: str = "path") -> DataFrame:
     """(type, group_id, primary, member, seq): all groups. Kinds are tried in the order of KINDS,
-    and a file that one has claimed takes no part in the next."""
-    left = parsed(files, path)
+    and a file that one has claimed takes no part in the next. Each step is cut by a checkpoint,
+    since the next one uses it several times."""
+    left = cut(parsed(files, path))
     out = None
     for k in range(len(KINDS)):
-        found = by_name(left)[k] if k < 3 else bursts(left) if k == 3 else sdr_hdr(left)
+        found = cut(by_name(left)[k] if k < 3 else bursts(left) if k == 3 else sdr_hdr(left))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(F.col("member").alias("path")), "path", "left_anti")
+        if k + 1 < len(KINDS):
+            left = cut(left.join(found.select(F.col("member").alias("path")), "path", "left_anti"))
     return out
 
 
