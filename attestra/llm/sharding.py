@@ -19,19 +19,21 @@ from .common import cut, gapless_rank, real_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOTS, PIECES = 4096, 2
-#: How much the balance of bytes, tokens and rows counts.
-WEIGHT = (8.0, 2.0, 1.0)
+#: How much the balance of bytes, tokens and rows counts, and how much for the smaller units, which have half of the bytes:
+#: where the three conflict, these settle it for the bytes.
+WEIGHT, LAST_WEIGHT = np.array([8.0, 2.0, 1.0]), np.array([1000.0, 2.0, 1.0])
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each unit (rows: bytes, tokens, rows), by the highest dot product with the residual capacity."""
-    share = np.maximum(vectors.sum(0), 1) / shards
-    x = vectors / share * np.sqrt(WEIGHT)
-    left = np.ones((shards, 1)) * np.sqrt(WEIGHT)
+    x = vectors / (np.maximum(vectors.sum(0), 1) / shards)
+    left = np.ones((shards, x.shape[1]))
     to = np.zeros(len(x), np.int64)
+    done = 0.0
     for i in np.argsort(-x[:, 0], kind="stable"):
-        to[i] = int(np.argmax(left @ x[i]))
+        to[i] = int(np.argmax(left @ (x[i] * (WEIGHT if done < shards / 2 else LAST_WEIGHT))))
         left[to[i]] -= x[i]
+        done += x[i, 0]
     return to
 
 
