@@ -19,6 +19,15 @@ WEIGHTS = (5, 2, 1)
 HASH_BITS, LEVEL_BITS = 60, 12
 
 
+#: Sources up to which their table is broadcast to the documents; more are joined by a shuffle.
+FEW_SOURCES = 10_000
+
+
+def if_few(sources: DataFrame, n: int) -> DataFrame:
+    """sources, of n rows, marked for a broadcast if n is within FEW_SOURCES; a hot source then needs no shuffle."""
+    return F.broadcast(sources) if n <= FEW_SOURCES else sources
+
+
 def document_hash(c: str):
     """The leading 60 bits of the MD5 digest of an integer column's decimal digits."""
     return F.conv(F.substring(F.md5(F.col(c).cast("string").cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
@@ -41,18 +50,18 @@ def targets(sums: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2)
     return s.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, budgets: DataFrame, sources: int) -> DataFrame:
     """(source, below) for budgets (source, budget double): the documents whose hash is below
     `below` are a run in order of hash whose sizes sum to the budget as nearly as a run can.
 
-    sized: (source, h, size), checkpointed. A level sums sizes by source and by the next
+    sized: (source, h, size), checkpointed; sources: how many there are. A level sums sizes by source and by the next
     LEVEL_BITS bits of those rows alone that fall into the source's boundary bucket.
     """
     state = budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("below"))
     shift = HASH_BITS
     for done in range(0, HASH_BITS, LEVEL_BITS):
         shift = HASH_BITS - done - LEVEL_BITS
-        inside = sized if not done else sized.join(state.select(F.col("source").alias("_s"), "below"), F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("below", shift + LEVEL_BITS)).select(*sized.columns)
+        inside = sized if not done else sized.join(if_few(state.select(F.col("source").alias("_s"), "below"), sources), F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("below", shift + LEVEL_BITS)).select(*sized.columns)
         sums = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
         running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
         j = running.withColumnRenamed("source", "_s").join(state.select("source", "left", "below"), F.col("_s").eqNullSafe(F.col("source")), "right")
@@ -88,12 +97,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2) ->
         docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("h", document_hash("id"))
     )
     goal = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    sources = goal.count()
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    limit = thresholds(sized.select("source", "h", "size"), goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
+    limit = thresholds(sized.select("source", "h", "size"), goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")), sources)
     rule = goal.join(limit.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s")
     times = F.col("whole") + F.when((F.col("h") < F.col("below")) & (F.col("whole") < most), 1).otherwise(0)
     return (
-        sized.join(rule, F.col("source").eqNullSafe(F.col("_s")))
+        sized.join(if_few(rule, sources), F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("times", times)
         .select(real_id("id").alias("doc_id"), "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
     )

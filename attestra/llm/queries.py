@@ -82,11 +82,11 @@ w AS (
   FROM s),
 l AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-         / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at
+         / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM w),
 t AS (
   SELECT source, source_size,
-         least(cap, w * (SELECT arg_min(at, cap / w) FROM l WHERE at * w <= cap)) AS target
+         least(cap, w * (SELECT arg_min(lev, cap / w) FROM l WHERE lev * w <= cap)) AS target
   FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 r AS (
@@ -101,9 +101,10 @@ FROM r""",
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d),
 y AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM x),
-g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM y WHERE k > 1) GROUP BY doc_id),
-r AS (SELECT d.doc_id, w, list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(coalesce(gone, []), j)) AS kept FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed,
-       sha256(coalesce(array_to_string(list_transform(kept, lambda j: w[j]), ' '), '')) AS kept_sha256
-FROM r""",
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM y WHERE k > 1),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT p.doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.j) AS kept FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.j = g.j GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
 }
+
