@@ -20,6 +20,8 @@ from .common import cut, doc_columns, real_id
 
 #: Labelled rows that the fit uses at most, those of the smallest hash of doc_id.
 SAMPLE = 20_000
+#: Hashes of doc_id are taken modulo this.
+SPAN = 1_000_000_007
 BINS, PAIR_BINS, PAIRS, ROUNDS, RATE, LEAST = 32, 12, 6, 200, 0.15, 10
 FEATURES = (
     "words", "word_length", "distinct", "top_word", "distinct_pairs", "upper", "digits", "marks", "symbols", "pipes",
@@ -164,7 +166,9 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7, held_out: i
     fold = lambda c: F.coalesce(F.pmod(F.crc32(real_id(c).cast("string").cast("binary")), F.lit(4)) == (-1 if held_out is None else held_out), F.lit(False))
     x = cut(with_features(docs))
     truth = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"))
-    known = x.join(truth.where(~fold("id")), "id").select("x", "quality", F.xxhash64("id").alias("h")).orderBy("h", "quality", "x").limit(sample).collect()
+    known = x.join(truth.where(~fold("id")), "id").select("x", "quality", F.pmod(F.xxhash64("id"), F.lit(SPAN)).alias("h"))
+    part = min(1.0, 1.5 * sample / max(1, known.count()))  # so that a task sends the driver its share, not a whole sample
+    known = known.where(F.col("h") < int(SPAN * part)).orderBy("h", "quality", "x").limit(sample).collect()
     model = train(np.array([r[0] for r in known], dtype=float).reshape(-1, len(FEATURES)), np.array([r[1] for r in known], dtype=float))
 
     def run(batches):
