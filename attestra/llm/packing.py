@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from .common import cut, doc_columns, gapless_rank, real_id, worker_cache
 
 SEQUENCE = 2048
 #: Most patterns that the fit looks at; most units kept in a worker's cache.
-PATTERNS, CACHED = 6000, 400_000
+PATTERNS, CACHED = 6000, 1_000_000
 
 
 def encoder(path: str):
@@ -37,29 +38,18 @@ def encoder(path: str):
         tok.encode_special_tokens = True
         kept.update(tok=tok, units={})
     tok, units = kept["tok"], kept["units"]
-    as_bytes = lambda e: np.array(e.ids, dtype="<u4").tobytes()
+    as_bytes = lambda e: array("I", e.ids).tobytes()
+    encode = lambda texts: map(as_bytes, tok.encode_batch_fast(texts, add_special_tokens=False))
 
     def encode_all(texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if "  " in t or "<|" in t:
-                split.append(None)
-                continue
-            first, *rest = t.split(" ")
-            split.append([first, *[" " + x for x in rest]])
+        split = [None if "  " in t or "<|" in t else t.split(" ") for t in texts]
+        first = encode([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
+        rest = [[] if s is None else s[1:] for s in split]
+        new = list(set(itertools.chain.from_iterable(rest)).difference(units))
+        units.update(zip(new, encode([" " + u for u in new]), strict=True))
+        out = [f + b"".join(map(units.__getitem__, r)) for f, r in zip(first, rest, strict=True)]
         if len(units) > CACHED:
             units.clear()
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append(as_bytes(tok.encode(t, add_special_tokens=False)))
-                continue
-            try:
-                out.append(b"".join([units[u] for u in s]))
-            except KeyError:
-                new = [u for u in set(s) if u not in units]
-                units.update(zip(new, map(as_bytes, tok.encode_batch(new, add_special_tokens=False)), strict=True))
-                out.append(b"".join([units[u] for u in s]))
         return out
 
     return encode_all
@@ -76,8 +66,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SEQUENC
         encode = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
                 rows = []
                 for d, ids in zip(part.column("id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
                     ids += end
@@ -135,9 +125,20 @@ def fit(hist: np.ndarray, pats: list[tuple[int, ...]], steps: int = 300) -> np.n
     return x
 
 
+#: Parts of the fitted repeat counts that a plan may use; patterns can take short lengths that long ones need.
+SHARES = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.2, 0.0)
+
+
 def plan(hist: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first_rank, count, first_sequence, offset) that place every item of hist
-    (hist[n]: items of length n) into sequences of len(hist) - 1."""
+    (hist[n]: items of length n) into sequences of len(hist) - 1; the one of SHARES with the fewest sequences."""
+    pats = patterns(hist)
+    x = fit(hist, pats)
+    return min((plan_with(hist, pats, share * x) for share in SHARES), key=lambda p: p[1])[0]
+
+
+def plan_with(hist: np.ndarray, pats: list[tuple[int, ...]], repeats: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(runs, number of sequences): patterns as often as repeats says, rounded down, and best fit decreasing for the rest."""
     size = len(hist) - 1
     left = hist.astype(np.int64).copy()
     runs, used, sequences = [], np.zeros(size + 1, np.int64), 0
@@ -147,8 +148,7 @@ def plan(hist: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         used[length] += count
         left[length] -= count
 
-    pats = patterns(left)
-    for p, x in sorted(zip(pats, np.floor(fit(left, pats) + 1e-9).astype(np.int64), strict=True), key=lambda z: -z[1]):
+    for p, x in sorted(zip(pats, np.floor(repeats + 1e-9).astype(np.int64), strict=True), key=lambda z: -z[1]):
         lengths, each = np.unique(p, return_counts=True)
         n = int(min(x, (left[lengths] // each).min()))
         if n <= 0:
@@ -184,7 +184,7 @@ def plan(hist: np.ndarray) -> list[tuple[int, int, int, int, int]]:
                     bisect.insort(free, rest)
                     room[rest] = []
                 room[rest].append((first, n))
-    return runs
+    return runs, sequences
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SEQUENCE) -> DataFrame:
