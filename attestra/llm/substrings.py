@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import doc_columns, real_id
 
-WINDOW, M = 20, 4
+WINDOW, M = 20, 3
 #: Words of a flush; bytes of a bucket (about); bytes that travel for a byte of text (about); buckets at most.
-FLUSH, PER_BUCKET, SPREAD, BUCKETS = 1_500_000, 12_000_000, 3.2, 20_000
+FLUSH, PER_BUCKET, SPREAD, BUCKETS = 1_200_000, 9_000_000, 3.1, 20_000
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -110,7 +110,7 @@ def travel(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     def flush(ids, ties, texts):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         text = pa.chunked_array(texts).combine_chunks() if len(texts) > 1 else texts[0]
         by = np.lexsort((ties, ids))
         by = by[np.r_[True, (np.diff(ids[by]) != 0) | (np.diff(ties[by]) != 0)]]  # repeated rows once
@@ -150,12 +150,13 @@ def travel(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             offsets = np.frombuffer(words.buffers()[1], np.int32, n + 1, 4 * words.offset)
             data = memoryview(words.buffers()[2])
             lens = np.diff(offsets)
+            kind = np.uint16 if lens.max() < 1 << 16 else np.uint32
             begin, end = offsets[s].tolist(), offsets[s + runs + window - 1].tolist()
             edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
             for a, z in zip(edges[:-1], edges[1:], strict=True):
                 ss, rr = s[a:z], runs[a:z]
-                head = (ids[doc[ss]], ties[doc[ss]], (ss - first[ss]).astype(np.int32), rr.astype(np.int32), lens[ranges(ss, rr + window - 1)].astype(np.int32))
-                rows.append((int(to[a]), False, press.compress(b"".join([*(x.tobytes() for x in head), *(data[x:y] for x, y in zip(begin[a:z], end[a:z], strict=True))])), int(z - a)))
+                head = (ids[doc[ss]], ties[doc[ss]], (ss - first[ss]).astype(np.int32), rr.astype(np.int32), lens[ranges(ss, rr + window - 1)].astype(kind), np.array([kind().itemsize], np.int64))
+                rows.append((int(to[a]), False, press.compress(b"".join([*(x.tobytes() for x in head[:-1]), *(data[x:y] for x, y in zip(begin[a:z], end[a:z], strict=True)), head[-1].tobytes()])), int(z - a)))
         for k in range(0, len(rows), 1000):
             part = rows[k : k + 1000]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.int32()), strict=True)], ["bucket", "settled", "packed", "n"])
@@ -194,8 +195,9 @@ def resolve(packed: DataFrame, window: int) -> DataFrame:
                 continue
             heads.append(head)
             k = int(head[3].sum()) + n * (window - 1)
-            lens.append(np.frombuffer(raw, np.int32, k, 24 * n))
-            data.append(memoryview(raw)[24 * n + 4 * k :])
+            size = raw[-8]  # bytes of a word's length; texts lie between lengths and this
+            lens.append(np.frombuffer(raw, f"<u{size}", k, 24 * n).astype(np.int32))
+            data.append(memoryview(raw)[24 * n + size * k : -8])
         del t
         if heads:
             ids, ties, start, runs = (np.concatenate(c) for c in zip(*heads, strict=True))
