@@ -60,7 +60,7 @@ def ewma_stream(stream: DataFrame, key: str, order: str, value: str, alpha: floa
             state.remove()
             return
         mean, n = state.get if state.exists else (None, 0)
-        for v in pd.concat(list(frames)).sort_values(order)[value].dropna():
+        for v in pd.concat(list(frames)).sort_values("o")["v"].dropna():
             mean, n = (float(v) if mean is None else alpha * float(v) + (1 - alpha) * mean), n + 1
         if mean is not None:
             state.update((mean, n))
@@ -68,7 +68,8 @@ def ewma_stream(stream: DataFrame, key: str, order: str, value: str, alpha: floa
             yield pd.DataFrame({"key": [k[0]], "ewma": [mean], "n": [n]})
 
     kind = dict(stream.dtypes)[key]
-    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(update, f"key {kind}, ewma double, n long", "mean double, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.select(F.col(key).alias("key"), F.col(order).alias("o"), F.col(value).alias("v"))
+    return rows.groupBy("key").applyInPandasWithState(update, f"key {kind}, ewma double, n long", "mean double, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def match_in_time(files: DataFrame, points: DataFrame, tolerance: str = "1 hour", late: str = "2 hours") -> DataFrame:
