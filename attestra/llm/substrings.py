@@ -110,7 +110,7 @@ def travel(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     def flush(ids, ties, texts):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         text = pa.chunked_array(texts).combine_chunks() if len(texts) > 1 else texts[0]
         by = np.lexsort((ties, ids))
         by = by[np.r_[True, (np.diff(ids[by]) != 0) | (np.diff(ties[by]) != 0)]]  # repeated rows once
