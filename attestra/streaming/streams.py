@@ -53,23 +53,19 @@ def sessions(stream: DataFrame, at: str, keys: list[str], gap: str = "30 seconds
 
 def ewma_stream(stream: DataFrame, key: str, order: str, value: str, alpha: float = 0.15) -> DataFrame:
     """(key, ewma, n) after each batch: the running exponential mean of each key's values. The state
-    is two numbers a key; it goes after an hour without rows."""
+    is two numbers a key, and stays."""
 
     def update(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         mean, n = state.get if state.exists else (None, 0)
         for v in pd.concat(list(frames)).sort_values("o")["v"].dropna():
             mean, n = (float(v) if mean is None else alpha * float(v) + (1 - alpha) * mean), n + 1
         if mean is not None:
             state.update((mean, n))
-            state.setTimeoutDuration(3_600_000)
             yield pd.DataFrame({"key": [k[0]], "ewma": [mean], "n": [n]})
 
     kind = dict(stream.dtypes)[key]
     rows = stream.select(F.col(key).alias("key"), F.col(order).alias("o"), F.col(value).alias("v"))
-    return rows.groupBy("key").applyInPandasWithState(update, f"key {kind}, ewma double, n long", "mean double, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(update, f"key {kind}, ewma double, n long", "mean double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
 def match_in_time(files: DataFrame, points: DataFrame, tolerance: str = "1 hour", late: str = "2 hours") -> DataFrame:
