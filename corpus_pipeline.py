@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import mixing, packing, quality, secrets, simhash
+from attestra.llm import mixing, nearcopies, packing, quality, secrets
 from attestra.llm.common import shared_dir, table
 
 
@@ -17,8 +17,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return simhash.keep_one_of_each(docs)
+    """Of each group of near duplicates (5-word Jaccard index of at least 0.8, verified) the document of the smallest id stays."""
+    return nearcopies.keep_one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

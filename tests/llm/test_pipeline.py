@@ -1,9 +1,11 @@
 """The pipeline over a small folder of tables."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
-from attestra.llm import queries
+from attestra.llm import nearcopies, queries
 from attestra.llm.common import gapless_rank
 
 pytest.importorskip("public_tokenizers")
@@ -41,3 +43,37 @@ def test_gapless_rank(spark):
         rows = gapless_rank(d, ["k"], ["id"], "r", 1000, chunk).collect()
         for k in (None, 0, 1):
             assert sorted(x.r for x in rows if x.k == k) == list(range(sum(x.k == k for x in rows)))
+
+
+def jaccard(a, b):
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [None, 500])
+def test_near_duplicate_stage_finds_edited_copies_and_verifies_them(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+    rng = random.Random(3)
+    rows, want = [], set()
+    boiler = [f"licence{k}" for k in range(40)]
+    for i in range(120):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 100, 300]))] + boiler * (i % 2)
+        copy = list(base)
+        for k in rng.sample(range(len(base)), max(1, len(base) // rng.choice([20, 50, 100]))):
+            copy[k] = "edited"
+        rows += [(i, " ".join(base), i), (1000 + i, " ".join(copy), i)]
+        want |= {i} if jaccard(rows[-1][1], rows[-2][1]) >= 0.8 else {i, 1000 + i}
+    assert 150 < len(want) < 220  # copies on both sides of the threshold
+    rows += [(2000, None, 0), (2001, "", 0), (2002, "a few words", 0), (2003, "A few  words", 0), (2004, "few words", 0), (None, rows[0][1], 0)]
+    want = want - {0} | {2000, 2002, 2004, None}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    out = nearcopies.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    kept = [r.doc_id for r in out.collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == want
+    assert nearcopies.keep_one_of_each(docs.limit(0)).count() == 0
