@@ -126,6 +126,23 @@ def merged(fps: DataFrame, *keys: str, k: int = K) -> DataFrame:
     return fps.select(*keys, "fingerprint").mapInArrow(part, schema).groupBy(*keys).applyInArrow(whole, schema)
 
 
+def run_bounds(ids: DataFrame, runs: int, low: int | None) -> np.ndarray:
+    """The ids that open the runs after the first, at most RUNS: of each approximate quantile, a double
+    that above 2**53 need not be an id, the smallest id from it up to the next, if there is one."""
+    if runs < 2:
+        return np.zeros(0, np.int64)
+    near = ids.approxQuantile("id", [i / runs for i in range(1, runs)], 0.1 / runs)
+    near = np.array(sorted({min(int(q), 2**63 - 1) for q in near}), dtype=np.int64)
+
+    def slots(batches):
+        for b in batches:
+            at = np.searchsorted(near, b.column("id").to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("id")], ["slot", "id"])
+
+    least = ids.mapInArrow(slots, "slot int, id long").where("slot > 0").groupBy("slot").agg(F.min("id").alias("id")).collect()
+    return np.array(sorted({r.id for r in least} - {low}), dtype=np.int64)
+
+
 def with_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of
     each row of docs (doc_id, text), rows in order of doc_id, the first following the last.
@@ -141,7 +158,7 @@ def with_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Data
     ids = d.select("id")
     n, low = ids.agg(F.count("*"), F.min("id")).first()
     runs = max(1, min(RUNS, -(-n // RUN)))
-    bounds = np.array(sorted(set(ids.approxQuantile("id", [i / runs for i in range(1, runs)], 0.1 / runs)) - {low}) if runs > 1 else [], dtype=np.int64)  # at most RUNS ids
+    bounds = run_bounds(ids, runs, low)
 
     def deal(batches):
         import xxhash

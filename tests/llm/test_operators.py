@@ -182,6 +182,19 @@ def test_fingerprints(spark, docs, empty, monkeypatch):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_of_ids_beyond_doubles(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RUN", 10)
+    rng = np.random.default_rng(5)
+    ids = sorted({int(i) for i in rng.integers(-(2**63) + 1, 2**63 - 1, 200)} | {2**60 + 3 * i for i in range(200)} | {2**63 - 1 - i for i in range(9)})
+    texts = [words(12, seed=i) for i in range(len(ids))]
+    got = fingerprint.with_neighbours(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    edited = {r.doc_id: r.edited_sha256 for r in got}
+    assert len(got) == len(edited) == len(ids)
+    for i, t, u in zip(ids, texts, texts[1:] + texts[:1], strict=True):
+        n = len(t)
+        assert edited[i] == hashlib.sha256((t[: n - n // 4] + u[: n // 4]).encode()).hexdigest()
+
+
 def test_sketch_estimates(spark):
     a, b = [fingerprint.bottom(range_hashes(i, j)) for i, j in ((0, 6000), (3000, 9000))]
     assert abs(fingerprint.resemblance(a, b) - 1 / 3) < 0.1 and abs(fingerprint.containment(a, b) - 0.5) < 0.12
