@@ -11,48 +11,133 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
+import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, doc_columns, gapless_rank, real_id, worker_cache
 
 SEQUENCE = 2048
-#: Most patterns that the fit looks at; most units kept in a worker's cache.
-PATTERNS, CACHED = 6000, 1_000_000
+#: Most patterns that the fit looks at; bytes of text encoded at once.
+PATTERNS, PART = 6000, 8 << 20
+
+
+#: How a byte-level BPE cuts a text before it merges bytes (fixed: the tokenizer file's pre-tokenizer means this).
+CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Characters beyond those whose classes no version of Unicode has changed; texts that hold any keep to the tokenizer itself.
+OTHERS = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
+
+
+def byte_names() -> dict[str, int]:
+    """The character by which a byte-level BPE names each byte: itself if printable, else the next free one from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def merger(path: str):
+    """tiktoken's encoder of the byte-level BPE in the tokenizer file at path, which merges several times
+    faster; None if the file asks for more than merges in order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model, pre = d["model"], d.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or d.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    names, vocab = byte_names(), model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocab["".join(m)] for m in pairs]
+    if ids != sorted(set(ids)) or len(vocab) != len(names) + len(ids) or max(map(vocab.__getitem__, names)) > min(ids, default=1 << 30):
+        return None
+    import tiktoken
+
+    ranks = {bytes(map(names.__getitem__, t)): i for t, i in vocab.items()}
+    return tiktoken.Encoding("merges", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
 
 
 def encoder(path: str):
-    """text -> its token ids as little-endian unsigned 32-bit bytes, exactly those of the
-    tokenizer file at path. A byte-level BPE never joins what a space follows with that space,
-    so a text without double spaces is encoded piece by piece, and pieces are remembered."""
+    """Arrow texts, none null -> the token ids of each, exactly those of the tokenizer file at path without
+    added special tokens. A byte-level BPE never joins a space with what stands before it if a word
+    follows, so texts are cut there; the distinct pieces are merged once, in one long text whose ids
+    are told apart by their bytes, and gathered. Texts with white space after a space are merged whole;
+    those with a special token's name or one of OTHERS go to the tokenizer itself."""
     from tokenizers import Tokenizer
 
-    kept = worker_cache().setdefault(("encoder", path), {})
-    if not kept:
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        kept.update(tok=tok, units={})
-    tok, units = kept["tok"], kept["units"]
-    as_bytes = lambda e: array("I", e.ids).tobytes()
-    encode = lambda texts: map(as_bytes, tok.encode_batch_fast(texts, add_special_tokens=False))
-
-    def encode_all(texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t or "<|" in t else t.split(" ") for t in texts]
-        first = encode([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
-        rest = [[] if s is None else s[1:] for s in split]
-        new = list(set(itertools.chain.from_iterable(rest)).difference(units))
-        units.update(zip(new, encode([" " + u for u in new]), strict=True))
-        out = [f + b"".join(map(units.__getitem__, r)) for f, r in zip(first, rest, strict=True)]
-        if len(units) > CACHED:
-            units.clear()
+    kept = worker_cache()
+    if ("encoder", path) not in kept:
+        tok, fast = Tokenizer.from_file(path), merger(path)
+        size = np.zeros(0, np.int64) if fast is None else np.zeros(fast.max_token_value + 1, np.int64)
+        for token, i in fast._mergeable_ranks.items() if fast is not None else ():
+            size[i] = len(token)
+        kept["encoder", path] = tok, fast, [t.content for t in tok.get_added_tokens_decoder().values()], size
+    tok, fast, special, size = kept["encoder", path]
+
+    def plain(t: str) -> bool:
+        try:
+            t.encode("latin-1")
+        except UnicodeEncodeError:
+            if OTHERS.search(t):
+                return False
+        return fast is not None and not any(name in t for name in special)
+
+    def merged(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, each after a space; where each unit's begin, and the end)."""
+        text = " " + " ".join(units.to_pylist())
+        ids = np.array(fast.encode_ordinary(text), np.uint32)
+        ends = np.cumsum(size[ids])
+        token = np.zeros(int(ends[-1]) + 1, np.int32)
+        token[ends] = np.arange(1, len(ids) + 1)
+        return ids, token[np.concatenate([[0], np.cumsum(pc.binary_length(units).to_numpy().astype(np.int64) + 1)])]
+
+    def by_pieces(texts: pa.Array) -> list[np.ndarray | None]:
+        """The ids of plain texts; None where one is to be merged whole."""
+        parts = pc.split_pattern(texts, " ")
+        units = parts.flatten()
+        n = np.diff(parts.offsets.to_numpy())
+        first = np.cumsum(n) - n
+        d = units.dictionary_encode()
+        ids, at = merged(d.dictionary)
+        bad = np.fromiter((not u or u[0].isspace() for u in d.dictionary.to_pylist()), bool, len(d.dictionary))
+        code = d.indices.to_numpy()
+        wrong = bad[code]
+        wrong[first] = False
+        whole = np.add.reduceat(wrong, first) > 0
+        begin, count = at[code], (at[1:] - at[:-1])[code]
+        count[first] = 0  # a text's first piece has no space before it
+        ends = np.cumsum(count)
+        found = ids[np.arange(ends[-1]) + np.repeat(begin - (ends - count), count)]
+        upto = np.concatenate([[0], ends[np.cumsum(n) - 1]]).tolist()
+        opens = units.take(pa.array(first)).to_pylist()
+        return [None if w else np.concatenate([np.array(fast.encode_ordinary(o), np.uint32), found[a:z]]) for o, w, a, z in zip(opens, whole.tolist(), upto[:-1], upto[1:], strict=True)]
+
+    def encode(texts: pa.Array) -> list[np.ndarray]:
+        words = texts.to_pylist()
+        out: list = [None] * len(words)
+        at = [i for i, t in enumerate(words) if plain(t)]
+        for i, ids in zip(at, by_pieces(texts.take(pa.array(at))) if at else (), strict=True):
+            out[i] = np.array(fast.encode_ordinary(words[i]), np.uint32) if ids is None else ids
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = np.array(tok.encode(words[i], add_special_tokens=False).ids, np.uint32)
         return out
 
-    return encode_all
+    return encode
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int):
+    """batch in slices of at most `most` bytes of a text column, of one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, z - a)
+        a = z
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SEQUENCE) -> DataFrame:
@@ -65,19 +150,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SEQUENC
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for part in slices(b, "text", PART):
                 rows = []
-                for d, ids in zip(part.column("id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
-                    ids += end
+                for d, found in zip(part.column("id").to_pylist(), encode(part.column("text")), strict=True):
+                    ids = found.tobytes() + end
                     n = len(ids) // 4
                     s, k = 0, 0
                     while s < n:
                         e = s + ((n - s - 1) % size + 1 if k == 0 else size)
                         rows.append((d, k, s, e - s, zlib.crc32(ids[4 * s : 4 * e])))
                         s, k = e, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
 
     return doc_columns(docs).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
