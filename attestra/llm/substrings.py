@@ -7,7 +7,9 @@ word by word, tells exactly which of them start later than an equal one.
 
 A map task settles first what it sees itself: windows that occur earlier in the same flush of
 documents are found there, and only the others travel. However often a passage repeats, a flush
-sends each of its windows once.
+sends each of its windows once. Minimisers that a bounded sample of the documents shows to be common
+are chosen only where a window has no other, and windows of common ones alone go to a bucket by
+their own hash, so no bucket grows with a common phrase. The sample steers where windows go, not what is found.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, real_id
+from .common import cut, doc_columns, real_id
 
 WINDOW, M = 20, 3
-#: Words of a flush; bytes of a bucket (about); bytes that travel for a byte of text (about); buckets at most.
-FLUSH, PER_BUCKET, SPREAD, BUCKETS = 1_200_000, 9_000_000, 3.1, 20_000
+#: Words of a flush; bytes of a bucket (about); bytes that travel for a byte of text (about).
+FLUSH, PER_BUCKET, SPREAD = 1_200_000, 9_000_000, 3.1
+#: Bytes of text of the sample (about); a minimiser of more than one in COMMON super-k-mers of the sample is common.
+SAMPLE, COMMON = 32 << 20, 2000
+LAST = np.uint64(1 << 63)
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -82,20 +87,34 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def repeats(codes: np.ndarray, key: np.ndarray, at: np.ndarray, order: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of windows (key: their hashes, at: their first word): j equals i word by word,
-    and i is the first in order of its equals. Where hashes collide, j is compared with i alone."""
+    and i is the first in order of its equals. Windows whose hashes collide are told apart."""
     by = np.argsort(key)
     s = key[by]
     same = s[1:] == s[:-1]
     some = by[np.r_[same, False] | np.r_[False, same]] if len(by) else by
     some = some[np.lexsort((order[some], key[some]))]
-    k = key[some]
-    first = some[np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], np.arange(len(k)), 0))] if len(k) else some
-    rest = first != some
-    i, j = first[rest], some[rest]
-    equal = np.ones(len(i), bool)
-    for n in range(w):
-        equal &= codes[at[i] + n] == codes[at[j] + n]
-    return i[equal], j[equal]
+    out = []
+    while len(some):
+        k = key[some]
+        first = some[np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], np.arange(len(k)), 0))]
+        rest = first != some
+        i, j = first[rest], some[rest]
+        equal = np.ones(len(i), bool)
+        for n in range(w):
+            equal &= codes[at[i] + n] == codes[at[j] + n]
+        out.append((i[equal], j[equal]))
+        some = j[~equal]
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (by[:0], by[:0])
+
+
+def minimisers(h: np.ndarray, at: np.ndarray, key: np.ndarray, window: int, common: np.ndarray) -> np.ndarray:
+    """What the windows at `at` (key: their hashes) go by: the least hash of their runs of M words, common ones
+    after all others; a window that has only common ones goes by its own hash."""
+    runs = mixed(rolled(h, M)) >> np.uint64(1)
+    if len(common):
+        runs[common[np.minimum(np.searchsorted(common, runs), len(common) - 1)] == runs] |= LAST
+    low = least(runs, window - M + 1)[at]
+    return np.where(low >= LAST, key | LAST, low)
 
 
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -104,7 +123,51 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n) + np.repeat(start, n)
 
 
-def travel(docs: DataFrame, buckets: int, window: int) -> DataFrame:
+def spaced(words: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The words joined by spaces, and where each begins, with the end of all and one more."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    sized = offsets - offsets[0] + np.arange(len(words) + 1)
+    out = np.full(int(sized[-1]), 32, np.uint8)
+    letter = np.ones(len(out), bool)
+    letter[sized[1:] - 1] = False
+    out[letter] = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return memoryview(out), sized
+
+
+def unspaced(data: bytes) -> pa.Array:
+    """The words of data, in which single spaces part them."""
+    raw = np.frombuffer(data, np.uint8)
+    space = raw == 32
+    ends = np.concatenate([np.flatnonzero(space), [len(raw)]])
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~space])])
+
+
+def common_minimisers(docs: DataFrame, size: int, window: int) -> np.ndarray:
+    """The common minimisers, fewer than COMMON, of a sample of docs (id, text, tie) by hash, SAMPLE bytes of all size."""
+    span = 1_000_000
+    part = min(span, -(-SAMPLE * span // max(1, size)))
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                words, counts = split_words(b.column("text").slice(k, 1000))
+                if len(words) < window:
+                    continue
+                _, h = word_codes(words)
+                doc = np.repeat(np.arange(len(counts)), counts)
+                at = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :])
+                low = minimisers(h, at, rolled(h, window)[at], window, np.zeros(0, np.uint64))
+                low, n = np.unique(low[np.r_[True, low[1:] != low[:-1]]] if len(low) else low, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n)], ["low", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("id", "tie"), F.lit(span)) < part).select("text")
+    counts = cut(sample.mapInArrow(run, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).where("n > 1"))
+    limit = (counts.agg(F.sum("n")).first()[0] or 0) / COMMON
+    return np.array(sorted(r[0] for r in counts.where(F.col("n") > max(8, limit)).collect()), dtype=np.uint64)
+
+
+def travel(docs: DataFrame, buckets: int, window: int, common: np.ndarray) -> DataFrame:
     """(bucket, settled, packed): super-k-mers by bucket; with settled, windows known to repeat."""
 
     def flush(ids, ties, texts):
@@ -124,7 +187,7 @@ def travel(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             return
         at = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
         key = rolled(h, window)[at]
-        low = least(mixed(rolled(h, M)), window - M + 1)[at]
+        low = minimisers(h, at, key, window, common)
         _, again = repeats(codes, key, at, at, window)
         known = np.zeros(len(at), bool)
         known[again] = True
@@ -147,16 +210,13 @@ def travel(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             to = (mixed(low[cuts] * np.uint64(ODD)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             s, runs, to = s[order], runs[order], to[order]
-            offsets = np.frombuffer(words.buffers()[1], np.int32, n + 1, 4 * words.offset)
-            data = memoryview(words.buffers()[2])
-            lens = np.diff(offsets)
-            kind = np.uint16 if lens.max() < 1 << 16 else np.uint32
-            begin, end = offsets[s].tolist(), offsets[s + runs + window - 1].tolist()
+            data, starts = spaced(words)
+            begin, end = starts[s].tolist(), (starts[s + runs + window - 1] - 1).tolist()
             edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
             for a, z in zip(edges[:-1], edges[1:], strict=True):
                 ss, rr = s[a:z], runs[a:z]
-                head = (ids[doc[ss]], ties[doc[ss]], (ss - first[ss]).astype(np.int32), rr.astype(np.int32), lens[ranges(ss, rr + window - 1)].astype(kind), np.array([kind().itemsize], np.int64))
-                rows.append((int(to[a]), False, press.compress(b"".join([*(x.tobytes() for x in head[:-1]), *(data[x:y] for x, y in zip(begin[a:z], end[a:z], strict=True)), head[-1].tobytes()])), int(z - a)))
+                head = (ids[doc[ss]], ties[doc[ss]], (ss - first[ss]).astype(np.int32), rr.astype(np.int32))
+                rows.append((int(to[a]), False, press.compress(b"".join(x.tobytes() for x in head) + b" ".join(data[x:y] for x, y in zip(begin[a:z], end[a:z], strict=True))), int(z - a)))
         for k in range(0, len(rows), 1000):
             part = rows[k : k + 1000]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.int32()), strict=True)], ["bucket", "settled", "packed", "n"])
@@ -186,7 +246,7 @@ def resolve(packed: DataFrame, window: int) -> DataFrame:
         import zstandard
 
         open_up = zstandard.ZstdDecompressor()
-        done, heads, lens, data = [], [], [], []
+        done, heads, data = [], [], []
         for settled, z, n in zip(*(t.column(c).to_pylist() for c in ("settled", "packed", "n")), strict=True):
             raw = open_up.decompress(z)
             head = [np.frombuffer(raw, d, n, o * n) for d, o in ((np.int64, 0), (np.int64, 8), (np.int32, 16), (np.int32, 20))]
@@ -194,17 +254,12 @@ def resolve(packed: DataFrame, window: int) -> DataFrame:
                 done.append(head)
                 continue
             heads.append(head)
-            k = int(head[3].sum()) + n * (window - 1)
-            size = raw[-8]  # bytes of a word's length; texts lie between lengths and this
-            lens.append(np.frombuffer(raw, f"<u{size}", k, 24 * n).astype(np.int32))
-            data.append(memoryview(raw)[24 * n + size * k : -8])
+            data.append(memoryview(raw)[24 * n :])
         del t
         if heads:
             ids, ties, start, runs = (np.concatenate(c) for c in zip(*heads, strict=True))
-            sizes = np.concatenate(lens)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            codes, h = word_codes(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b"".join(data))]))
-            del data, lens
+            codes, h = word_codes(unspaced(b" ".join(data)))
+            del data
             words = runs + window - 1
             first = np.cumsum(words) - words
             run = np.repeat(np.arange(len(runs)), runs)
@@ -237,15 +292,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     d = doc_columns(docs).withColumn("tie", F.xxhash64("text"))
     size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = int(min(BUCKETS, max(16, -(-size * SPREAD // PER_BUCKET))))
-    found = resolve(travel(d, buckets, window), window)
+    buckets = int(max(16, -(-size * SPREAD // PER_BUCKET)))
+    found = resolve(travel(d, buckets, window, common_minimisers(d, size, window)), window)
     spans = found.groupBy("id", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
 
+    def small(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            z = pa.array([press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tie"), z], ["id", "tie", "z"])
+
     def apply(batches):
+        import zstandard
+
+        open_up = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for text, starts, ns in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "ns")), strict=True):
-                words = text.encode().split()
+            for z, starts, ns in zip(*(b.column(c).to_pylist() for c in ("z", "starts", "ns")), strict=True):
+                words = open_up.decompress(z).split() if z else []
                 n = len(words)
                 if starts:
                     gone = np.zeros(n + 1, np.int64)
@@ -258,5 +324,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["id", "n_words", "n_removed", "kept"])
 
-    out = d.join(spans, ["id", "tie"], "left").select("id", "text", "starts", "ns").mapInArrow(apply, "id long, n_words long, n_removed long, kept string")
+    texts = d.select("id", "tie", "text").mapInArrow(small, "id long, tie long, z binary")
+    out = texts.join(spans, ["id", "tie"], "left").select("id", "z", "starts", "ns").mapInArrow(apply, "id long, n_words long, n_removed long, kept string")
     return out.select(real_id("id").alias("doc_id"), "n_words", "n_removed", "kept")
