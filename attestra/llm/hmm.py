@@ -25,8 +25,10 @@ from .substrings import split_words
 
 #: Words that are classes of their own, classes by ending, hidden states, rounds over all texts.
 OWN, ENDINGS, STATES, ROUNDS = 2000, 2000, 6, 3
-#: Training sequences are texts cut into SEGMENT tokens; those of the first guess at most FIRST, its rounds.
-SEGMENT, FIRST, FIRST_ROUNDS = 64, 4000, 12
+#: The first guess learns moves and words from at most FIRST stretches of at most STRETCH tokens, in so many rounds.
+STRETCH, FIRST, FIRST_ROUNDS = 64, 4000, 12
+#: Tokens whose forward vectors are held at once; of longer runs they are computed anew from kept ones.
+HELD = 700_000
 #: Tokens of a block, the counts' smoothing.
 BLOCK, ALPHA = 1_500_000, 0.1
 #: Stands for the end of a text among words, none of which is empty.
@@ -136,18 +138,17 @@ def with_classes(blocks: DataFrame, entries: DataFrame, counts: DataFrame, withi
     return blocks.select("block", "n", "tokens", "docs", "seq").groupBy("block").cogroup(looked.groupBy("b")).applyInArrow(meet, "block long, n int, tokens long, docs binary, seq binary, sums binary")
 
 
-def segments(seq: np.ndarray, lens: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, lengths): the texts to use as rows of SEGMENT classes, longest rows first."""
-    at = np.cumsum(lens) - lens
-    at, lens = at[use], lens[use]
-    parts = -(-lens // SEGMENT)
-    text = np.repeat(np.arange(len(lens)), parts)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start, n = at[text] + k * SEGMENT, np.minimum(SEGMENT, lens[text] - k * SEGMENT)
-    order = np.argsort(-n, kind="stable")
-    start, n = start[order], n[order]
-    x = seq[np.minimum(start[:, None] + np.arange(SEGMENT), max(len(seq) - 1, 0))] if len(seq) else np.zeros((0, SEGMENT), np.uint16)
-    return x, n
+def stretches(seq: np.ndarray, lens: np.ndarray, most: int) -> list[np.ndarray]:
+    """At most `most` pieces of at most STRETCH tokens of the texts, spread evenly."""
+    at, parts = np.cumsum(lens) - lens, -(-lens // STRETCH)
+    ends = np.cumsum(parts)
+    total = int(ends[-1]) if len(ends) else 0
+    out = []
+    for i in np.linspace(0, total - 1, min(most, total)).astype(int) if total else ():
+        text = int(np.searchsorted(ends, i, side="right"))
+        k = i - (ends[text] - parts[text])
+        out.append(seq[at[text] + k * STRETCH : at[text] + min((k + 1) * STRETCH, lens[text])])
+    return out
 
 
 class Model:
@@ -170,34 +171,58 @@ class Model:
         emit = emit + 0.1 * freq[:, None] * len(freq)
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def expected(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts of segments (rows of classes, longest first)."""
+    def expected(self, seq: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts of whole texts: starts, moves and emissions. Texts go side by side, the longest
+        first; forward vectors of more than HELD tokens are kept at some steps only and made anew from there."""
         k = len(self.start)
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape)
-        for a in range(0, len(x), 8192):
-            xs, ns = x[a : a + 8192], n[a : a + 8192]
-            longest = int(ns[0]) if len(ns) else 0
-            live = np.searchsorted(-ns, -np.arange(longest), side="left")  # rows longer than t
-            alphas, scales = [], []
-            for t in range(longest):
-                m = live[t]
-                v = (np.broadcast_to(self.start, (m, k)) if t == 0 else alphas[-1][:m] @ self.move) * self.emit[xs[:m, t]]
-                s = v.sum(1, keepdims=True)
-                alphas.append(v / s)
-                scales.append(s)
-            after = np.ones((live[-1], k)) if longest else None
-            for t in range(longest - 1, -1, -1):
+        order = np.argsort(-lens, kind="stable")
+        at, n = (np.cumsum(lens) - lens)[order], lens[order]
+        longest = int(n[0]) if len(n) else 0
+        live = np.searchsorted(-n, -np.arange(longest), side="left")  # texts longer than t
+
+        def forward(v, a, z):
+            """Steps a to z from v, the vectors of the step before: classes, scaled vectors and scales."""
+            for t in range(a, z):
                 m = live[t]
-                if t < longest - 1:
-                    b = after * self.emit[xs[: live[t + 1], t + 1]] / scales[t + 1]
-                    move += alphas[t][: live[t + 1]].T @ b
-                    after = np.ones((m, k))
-                    after[: live[t + 1]] = b @ self.move.T
-                gamma = alphas[t] * after
+                x = seq[at[:m] + t]
+                v = (np.broadcast_to(self.start, (m, k)) if t == 0 else v[:m] @ self.move) * self.emit[x]
+                scale = v.sum(1, keepdims=True)
+                v = v / scale
+                yield x, v, scale
+
+        cuts, held = [0], 0
+        for t in range(longest):
+            if held and held + live[t] > HELD:
+                cuts.append(t)
+                held = 0
+            held += int(live[t])
+        opens = [None]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            v = opens[-1]
+            for _, v, _ in forward(v, a, z):  # noqa: B007
+                pass
+            opens.append(v)
+        b = None  # what the step after says of each state that a text can move to
+        for a, z, v in zip(reversed(cuts), reversed([*cuts[1:], longest]), reversed(opens), strict=True):
+            steps = list(forward(v, a, z))
+            xs, gammas = [], []
+            while steps:
+                x, v, scale = steps.pop()
+                after = np.ones_like(v)
+                if b is not None:
+                    move += v[: len(b)].T @ b
+                    after[: len(b)] = b @ self.move.T
+                gamma = v * after
+                xs.append(x)
+                gammas.append(gamma)
+                b = after * self.emit[x] / scale
+            if a == 0 and gammas:
+                start = gammas[-1].sum(0)
+            if xs:
+                x, gamma = np.concatenate(xs), np.concatenate(gammas)
                 for j in range(k):
-                    emit[:, j] += np.bincount(xs[:m, t], gamma[:, j], len(emit))
-                if t == 0:
-                    start += gamma.sum(0)
+                    emit[:, j] += np.bincount(x, gamma[:, j], len(emit))
         return start, move * self.move, emit
 
     def log10(self, seq: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -258,29 +283,28 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, fold: int
 
     each = -(-FIRST // max(1, coded.count()))
 
+    def learned(row):
+        _, away, lens, seq = texts(row)
+        return seq[np.repeat(~away, lens)], lens[~away]
+
     def some(batches):
         for row in rows_of(batches):
-            _, away, lens, seq = texts(row)
-            x, n = segments(seq, lens, ~away)
-            pick = np.linspace(0, len(x) - 1, min(each, len(x))).astype(int) if len(x) else []
-            yield pa.RecordBatch.from_arrays([pa.array([x[i, : n[i]].astype(np.uint16).tobytes() for i in pick], pa.binary())], ["x"])
+            found = stretches(*learned(row), each)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.uint16).tobytes() for x in found], pa.binary())], ["x"])
 
     first = sorted((np.frombuffer(r[0], np.uint16) for r in coded.mapInArrow(some, "x binary").collect()), key=lambda s: (-len(s), s.tobytes()))[: 2 * FIRST]
     model = Model.guess(freq, states)
     if first:
-        x = np.zeros((len(first), SEGMENT), np.uint16)
-        for i, s in enumerate(first):
-            x[i, : len(s)] = s
-        n = np.array([len(s) for s in first])
+        x, n = np.concatenate(first), np.array([len(s) for s in first])
         for _ in range(FIRST_ROUNDS):
-            model = Model.of_counts(*model.expected(x, n), freq)
+            _, move, emit = model.expected(x, n)
+            model = Model.of_counts(np.zeros(states), move, emit, freq)  # where texts start, whole texts tell
     for _ in range(rounds if first else 0):
 
         def step(batches, model=model):
             start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(freq), states))
             for row in rows_of(batches):
-                _, away, lens, seq = texts(row)
-                for part, more in zip((start, move, emit), model.expected(*segments(seq, lens, ~away)), strict=True):
+                for part, more in zip((start, move, emit), model.expected(*learned(row)), strict=True):
                     part += more
             all_rows = np.vstack([emit, start[None], move])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(all_rows))), *(pa.array(all_rows[:, j]) for j in range(states))], ["class", *(f"s{j}" for j in range(states))])
