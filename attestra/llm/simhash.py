@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, components, cut, doc_columns, real_id
 
 RADIUS = 3
-#: Fingerprints whose variants are made at once, variants of a bucket (about), buckets of a round at most.
-FLUSH, PER_BUCKET, BUCKETS = 4096, 2_000_000, 4096
+#: Fingerprints whose variants are made at once, variants of a bucket (about).
+FLUSH, PER_BUCKET = 4096, 2_000_000
 MEAN_VARIANTS = 561
 SPREAD = 0x9E3779B97F4A7C15
-#: A bucket is a hash of a variant's leading bits, so that variants of other bits travel as one fingerprint and many flips.
-KEY_BITS = 20
+#: A bucket is a hash of a variant's leading bits, of which there are at least KEY_BITS, so that variants of other bits travel as one
+#: fingerprint and many flips; the more buckets, the more bits, SPARE beyond those that tell the buckets apart.
+KEY_BITS, SPARE = 20, 6
+#: A fingerprint shared by this part of all rows is joined by a broadcast; there are at most as many such.
+HOT = 1000
 
 
 def flip_masks() -> tuple[np.ndarray, int]:
@@ -70,14 +73,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def ball_links(fps: DataFrame, n: int) -> DataFrame:
     """(a, b): links within the radius between fingerprints (fp long, distinct, about n of them);
-    they join the same fingerprints as all links do. Beyond BUCKETS * PER_BUCKET variants the
-    space of variants is taken in several rounds, so that neither a bucket nor the rows that
-    carry it outgrow a task."""
-    want = max(16, -(-n * MEAN_VARIANTS // PER_BUCKET))
-    rounds = -(-want // BUCKETS)
-    each = -(-want // rounds)
-
-    def emit(batches, at):
+    they join the same fingerprints as all links do. Each emits its variants once; the number of
+    buckets grows with n, so that no bucket outgrows a task."""
+    buckets = max(16, -(-n * MEAN_VARIANTS // PER_BUCKET))
+    key_bits = min(62, max(KEY_BITS, buckets.bit_length() + SPARE))
+
+    def emit(batches):
         masks, near = flip_masks()
         for b in batches:
             all_fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -86,11 +87,8 @@ def ball_links(fps: DataFrame, n: int) -> DataFrame:
                 even = x[np.bitwise_count(x) % 2 == 0]
                 own = np.concatenate([np.repeat(x, near), np.repeat(even, len(masks) - near)])
                 code = np.concatenate([np.tile(np.arange(near, dtype=np.uint16), len(x)), np.tile(np.arange(near, len(masks), dtype=np.uint16), len(even))])
-                to = (((own ^ masks[code]) >> np.uint64(64 - KEY_BITS)) * np.uint64(SPREAD) >> np.uint64(32)) % np.uint64(each * rounds)
-                if rounds > 1:
-                    mine = to // np.uint64(each) == at
-                    own, code, to = own[mine], code[mine], to[mine]
-                order = np.argsort(to.astype(np.uint32), kind="stable")
+                to = (((own ^ masks[code]) >> np.uint64(64 - key_bits)) * np.uint64(SPREAD) >> np.uint64(24)) % np.uint64(buckets)
+                order = np.argsort(to, kind="stable")
                 own, code, to = own[order], code[order], to[order]
                 edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else [0]
                 data = []
@@ -144,12 +142,8 @@ def ball_links(fps: DataFrame, n: int) -> DataFrame:
                 keep[i] = True
         return pa.table({"a": a[keep].view(np.int64), "b": b[keep].view(np.int64)})
 
-    links = None
-    for r in range(rounds):
-        packed = fps.mapInArrow(lambda batches, r=r: emit(batches, r), "bucket long, packed binary")
-        found = packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
-        links = found if links is None else links.union(found)
-    return links.distinct()
+    packed = fps.mapInArrow(emit, "bucket long, packed binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -165,8 +159,11 @@ def near_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     labels = cut(components(ball_links(fps.select("fp"), fps.count())))
     least = labels.join(fps, labels.node == fps.fp).groupBy("root").agg(F.min("rep").alias("least"))
     named = labels.join(least, "root").select(F.col("node").alias("fp"), "least")
-    by_fp = fps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component"), "copies")
-    return own.join(by_fp, "fp").select(
+    by_fp = cut(fps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component"), "copies"))
+    hot = max(1, fps.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // HOT)
+    few = F.broadcast(by_fp.where(F.col("copies") > hot))  # fewer than HOT rows
+    both = own.join(few, "fp").union(own.join(few.select("fp"), "fp", "left_anti").join(by_fp, "fp").select("fp", "id", "component", "copies"))
+    return both.select(
         real_id("id").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         real_id("component").alias("component_id"),
