@@ -9,6 +9,7 @@ estimates are exact.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 
 import numpy as np
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, doc_columns, real_id
 
-K, SHINGLE, BITS = 256, 5, 40
-#: Documents of a run of neighbours, and runs at most.
-RUN, RUNS = 4000, 10_000
+K, SHINGLE = 256, 5
+#: Documents of a run of neighbours (about); rows sampled of each run to find where runs open; runs are longer beyond RUNS of them, since a task streams its run.
+RUN, SAMPLED, RUNS = 4000, 16, 100_000
 
 
 def hashes(words: list[bytes], shingle: int = SHINGLE) -> list[int]:
@@ -34,8 +35,8 @@ def hashes(words: list[bytes], shingle: int = SHINGLE) -> list[int]:
 
 
 def bottom(values, k: int = K) -> np.ndarray:
-    """The sketch of hashes: cut to BITS bits, distinct, the k smallest in order."""
-    return np.unique(np.array(values, dtype=np.uint64) >> np.uint64(64 - BITS))[:k]
+    """The sketch of hashes: distinct, the k smallest in order."""
+    return np.unique(np.array(values, dtype=np.uint64))[:k]
 
 
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
@@ -53,7 +54,7 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 def distinct(a: np.ndarray, k: int = K) -> float:
     """The estimated number of distinct shingles."""
-    return float(len(a)) if len(a) < k else (k - 1) * 2.0**BITS / (float(a[-1]) + 1)
+    return float(len(a)) if len(a) < k else (k - 1) * 2.0**64 / (float(a[-1]) + 1)
 
 
 def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
@@ -65,16 +66,12 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def to_text(a: np.ndarray) -> str:
-    """The sketch as text: base64 of big-endian BITS-bit hashes in order."""
-    b = a.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8 :]
-    return base64.b64encode(b.tobytes()).decode()
+    """The sketch as text: base64 of big-endian hashes in order."""
+    return base64.b64encode(a.astype(">u8").tobytes()).decode()
 
 
 def from_text(s: str) -> np.ndarray:
-    b = np.frombuffer(base64.b64decode(s), np.uint8).reshape(-1, BITS // 8)
-    full = np.zeros((len(b), 8), np.uint8)
-    full[:, 8 - BITS // 8 :] = b
-    return full.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(base64.b64decode(s), ">u8").astype(np.uint64)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -126,21 +123,32 @@ def merged(fps: DataFrame, *keys: str, k: int = K) -> DataFrame:
     return fps.select(*keys, "fingerprint").mapInArrow(part, schema).groupBy(*keys).applyInArrow(whole, schema)
 
 
-def run_bounds(ids: DataFrame, runs: int, low: int | None) -> np.ndarray:
-    """The ids that open the runs after the first, at most RUNS: of each approximate quantile, a double
-    that above 2**53 need not be an id, the smallest id from it up to the next, if there is one."""
-    if runs < 2:
-        return np.zeros(0, np.int64)
-    near = ids.approxQuantile("id", [i / runs for i in range(1, runs)], 0.1 / runs)
-    near = np.array(sorted({min(int(q), 2**63 - 1) for q in near}), dtype=np.int64)
+def text_hash(data: bytes) -> int:
+    """What orders rows of equal ids."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data) >> 1
 
-    def slots(batches):
+
+def run_bounds(d: DataFrame, runs: int) -> tuple[tuple[int, int] | None, list[tuple[int, int]]]:
+    """The first row's place (id, hash), and the places of real rows that open the runs after the
+    first: evenly spread ones of a sample by hash, about SAMPLED a run, without equal ones."""
+    span = 1_000_000
+    part = min(span, -(-runs * SAMPLED * span // max(1, d.count())))
+
+    def places(batches):
         for b in batches:
-            at = np.searchsorted(near, b.column("id").to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("id")], ["slot", "id"])
+            h = [text_hash(t.encode()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(h, pa.int64())], ["id", "h"])
 
-    least = ids.mapInArrow(slots, "slot int, id long").where("slot > 0").groupBy("slot").agg(F.min("id").alias("id")).collect()
-    return np.array(sorted({r.id for r in least} - {low}), dtype=np.int64)
+    low = d.agg(F.min("id")).first()[0]
+    if low is None:
+        return None, []
+    first = d.where(F.col("id") == F.lit(low)).mapInArrow(places, "id long, h long").agg(F.min("h")).first()[0]
+    if runs < 2:
+        return (low, first), []
+    some = sorted(map(tuple, d.where(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < part).mapInArrow(places, "id long, h long").collect()))
+    return (low, first), sorted({some[len(some) * i // runs] for i in range(1, runs)} - {(low, first)}) if some else []
 
 
 def with_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -148,20 +156,16 @@ def with_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Data
     each row of docs (doc_id, text), rows in order of doc_id, the first following the last.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of
-    the next row's text. Rows are dealt over runs of ids, and a run also gets the row that opens
-    the next one; within a run, a task streams sorted rows and holds two at a time. Texts travel
+    the next row's text. Rows are dealt over runs, each a partition of its own, and a run also gets the row
+    that opens the next one; within a run, a task streams sorted rows and holds two at a time. Texts travel
     once, compressed. A null text counts as empty; a null doc_id sorts first and stays null; rows
     of equal doc_id follow each other by a hash of the text; a single row is its own next; an
     empty table gives an empty result; other columns of docs are not looked at.
     """
     d = doc_columns(docs)
-    ids = d.select("id")
-    n, low = ids.agg(F.count("*"), F.min("id")).first()
-    runs = max(1, min(RUNS, -(-n // RUN)))
-    bounds = run_bounds(ids, runs, low)
+    low, bounds = run_bounds(d, max(1, min(RUNS, -(-docs.count() // RUN))))
 
     def deal(batches):
-        import xxhash
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
@@ -169,12 +173,12 @@ def with_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Data
             rows = []
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 data = t.encode()
-                h, z = xxhash.xxh64_intdigest(data) >> 1, press.compress(data)
-                at = int(np.searchsorted(bounds, i, side="right"))
+                h, z = text_hash(data), press.compress(data)
+                at = bisect.bisect_right(bounds, (i, h))
                 rows.append((at, 0, i, h, z))
-                if at and bounds[at - 1] == i:
+                if at and bounds[at - 1] == (i, h):
                     rows.append((at - 1, 1, i, h, z))
-                if i == low:
+                if (i, h) == low:
                     rows.append((len(bounds), 1, i, h, z))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())], ["run", "tail", "id", "h", "z"])
 
@@ -213,6 +217,6 @@ def with_neighbours(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
 
     dealt = d.mapInArrow(deal, "run int, tail int, id long, h long, z binary")
-    walked = dealt.repartition(len(bounds) + 1, "run").sortWithinPartitions("run", "tail", "id", "h")
+    walked = dealt.repartitionById(len(bounds) + 1, F.col("run")).sortWithinPartitions("tail", "id", "h")
     out = walked.mapInArrow(walk, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.select(real_id("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
