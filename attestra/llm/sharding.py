@@ -2,7 +2,7 @@
 
 Groups of equal texts stay together. What is placed are units, whose number is bounded whatever
 the input: each group of at least 1/LOTS of all bytes is a unit of its own, and the others are
-dealt by hash over LOTS lots. A group larger than 1/PIECES of a shard is split into pieces of
+dealt by hash over LOTS lots. A group larger than a shard is split into pieces of
 whole documents, since no placement could balance it otherwise. Units go to the shard with the
 highest dot product of their vector with the residual capacity, largest first.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, gapless_rank, real_id
 
 WORD = r"[^\x20\x09-\x0D]+"
-LOTS, PIECES = 4096, 2
+LOTS = 4096
 #: How much the balance of bytes, tokens and rows counts, and how much for the smaller units, which have half of the bytes:
 #: where the three conflict, these settle it for the bytes.
 WEIGHT, LAST_WEIGHT = np.array([8.0, 2.0, 1.0]), np.array([1000.0, 2.0, 1.0])
@@ -56,7 +56,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         )
     )
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    heavy_from, piece = max(1, total[0] // LOTS), max(1, total[0] // (shards * PIECES))
+    heavy_from, piece = max(1, total[0] // LOTS), max(1, total[0] // shards)
     # at most LOTS groups have heavy_from bytes
     groups = base.groupBy("h").agg(F.sum("size").alias("b")).where(F.col("b") >= heavy_from).select("h", F.ceil(F.col("b") / piece).cast("int").alias("pieces"))
     heavy = base.sparkSession.createDataFrame(groups.collect(), "h long, pieces int")
