@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a new temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a new temporary one, but only if
+    driver and executors are one process. On a cluster the setting must name a folder that all of them see."""
     sc = spark.sparkContext
-    if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        at = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="attestra-")
+    if (at := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="attestra-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
