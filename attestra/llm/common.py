@@ -4,33 +4,17 @@ from __future__ import annotations
 
 import math
 import sys
-import tempfile
 import types
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra.operators.graph import components, cut, shared_dir  # noqa: F401
+
 #: Stands for a null id inside the operators; results carry the null again.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a new temporary one."""
-    sc = spark.sparkContext
-    if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        at = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="attestra-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that neither a later
-    action nor a lost executor computes it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +28,22 @@ def doc_columns(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns called c0, c1 and so on, which clash with nothing that an operator adds, and these names by the old ones."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
+def in_order(df: DataFrame) -> Column:
+    """A struct of those columns of df that have an order (maps have none), for choosing one of several rows."""
+    return F.struct(F.lit(0).alias("first"), *[f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])
+
+
+def id_key(c: str) -> Column:
+    """An id column as a long that is never null."""
+    return F.coalesce(F.col(c).cast("long"), F.lit(NULL_ID))
+
+
 def real_id(c: str | Column) -> Column:
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(NULL_ID))
 
@@ -72,32 +72,3 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, row
     place = F.row_number().over(Window.partitionBy(*ks, "_chunk").orderBy(*order)) - 1
     ranked = df.withColumn("_place", place).join(first, [*ks, "_chunk"])
     return ranked.withColumn(out, F.col("_first") + F.col("_place")).drop(*ks, "_chunk", "_first", "_place")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of edges (a long, b long) can reach.
-
-    Alternating large-star and small-star rounds; each is a grouped minimum with partial
-    aggregation and an equi-join, and is cut by a checkpoint. Edges never come to the driver.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        near = e.join(least, "u")
-        if large:
-            return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    was, now = None, mark(e)
-    while now != was and now[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = cut(star(both, True).where("u <> v").distinct())
-        e = cut(star(e, False).where("u > v").distinct())
-        was, now = now, mark(e)
-    pairs = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return pairs.union(pairs.select(F.col("root").alias("node"), "root").distinct())

@@ -8,10 +8,10 @@ refined, level by level, and documents are filtered without a sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, real_id
+from .common import cut, id_key, numbered, real_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -84,6 +84,29 @@ def thresholds(sized: DataFrame, budgets: DataFrame, sources: int) -> DataFrame:
     return state.select("source", F.when(F.col("n") - F.col("left") < F.col("left"), F.col("below") + (1 << shift)).otherwise(F.col("below")).alias("below"))
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """(id, source, size, h) of docs: words of the text, hash of the id."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(id_key("doc_id").alias("id"), "source", size.alias("size")).withColumn("h", document_hash("id"))
+
+
+def rules(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """(_s, source_size, target, whole, below): how often each source takes all its documents, and below
+    which hash once more; marked for a broadcast while the sources are few."""
+    goal = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    sources = goal.count()
+    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    limit = thresholds(sized.select("source", "h", "size"), goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")), sources)
+    limit = limit.select(F.col("source").alias("_s"), "below")
+    rule = goal.join(limit, F.col("source").eqNullSafe(F.col("_s"))).select("_s", "source_size", "target", "whole", "below")
+    return if_few(rule, sources)
+
+
+def times(most: int) -> Column:
+    """How often a row is taken, from its hash h and its source's rule."""
+    return F.col("whole") + F.when((F.col("h") < F.col("below")) & (F.col("whole") < most), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """(doc_id, size, source, source_size, target, times, taken) for each row of docs (doc_id, text, source).
 
@@ -93,26 +116,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2) ->
     source of its own, the last; rows that share a doc_id are taken alike; a null doc_id stays
     null; an empty table gives an empty result. A rerun takes the same documents.
     """
-    sized = cut(
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("h", document_hash("id"))
-    )
-    goal = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    sources = goal.count()
-    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    limit = thresholds(sized.select("source", "h", "size"), goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")), sources)
-    rule = goal.join(limit.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s")
-    times = F.col("whole") + F.when((F.col("h") < F.col("below")) & (F.col("whole") < most), 1).otherwise(0)
-    return (
-        sized.join(if_few(rule, sources), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("times", times)
-        .select(real_id("id").alias("doc_id"), "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
-    )
-
-
-def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """docs as mixed: each row as often as mix() takes it (rows may repeat), all columns unchanged."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    times = mix(docs, **how).select(key.alias("_id"), F.col("source").alias("_s"), "times").where("times > 0").distinct()
-    names = [f"`{c}`" for c in docs.columns]
-    both = docs.withColumn("_key", key).join(times, (F.col("_key") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names)
+    sized = cut(sizes(docs))
+    both = sized.join(rules(sized, weights, share, most), F.col("source").eqNullSafe(F.col("_s"))).withColumn("times", times(most))
+    return both.select(real_id("id").alias("doc_id"), "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """docs as mixed: each row as often as mix() takes it (rows may repeat), all columns unchanged, whatever they are
+    called; nulls, empty texts, repeated rows and empty tables as there. A row's own id and source tell how often, so texts are not shuffled."""
+    rule = rules(cut(sizes(docs)), weights, share, most)
+    d, at = numbered(docs)
+    both = d.withColumn("h_id", id_key(at["doc_id"])).withColumn("h", document_hash("h_id")).join(rule, F.col(at["source"]).eqNullSafe(F.col("_s")))
+    often = both.withColumn("times", times(most)).where("times > 0")
+    return often.select(*d.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*d.columns).toDF(*docs.columns)

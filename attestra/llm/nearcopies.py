@@ -1,10 +1,11 @@
-"""Near duplicates by the Jaccard index of whole texts' 5-word shingle sets.
+"""Near duplicates by SimHash balls, verified by the Jaccard index of whole texts' 5-word shingle sets.
 
-Rows are linked where the index is at least LEAST. Candidates come from MinHash bands: two sets at
-0.8 share none of the BANDS bands with a chance of 3 in a million. Sets that share a band, directly or by a
-chain, make a candidate component; a task gets the texts of its members once and joins them exactly, by
+Rows are linked where the index is at least LEAST. Candidates are what the ball hashing of simhash.py links,
+over SimHashes of the sets. Its three bits hold few of the pairs at 0.8, whose SimHashes differ in some ten bits, so
+MinHash bands add the rest: two sets at 0.8 share none of the BANDS bands with a chance of 3 in a million.
+Candidates, directly or by a chain, make a component; a task gets the texts of its members once and joins them exactly, by
 prefixes of the rarest shingles. So every link is verified, and a pair is missed only if no chain
-of bands joins it. Components of more than BLOCK bytes are dealt over pairs of blocks, which
+of candidates joins it. Components of more than BLOCK bytes are dealt over pairs of blocks, which
 together hold each pair of members.
 """
 
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, cut
+from . import simhash
+from .common import components, cut, id_key, in_order, numbered
 from .fingerprint import SHINGLE, hashes, tokens
 
 #: The least index of near duplicates, as a fraction.
@@ -119,6 +121,15 @@ def band_links(sets: DataFrame, n: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
+def ball_links(sets: DataFrame) -> DataFrame:
+    """(a, b): links between sets (fp, sim) by the ball hashing of their SimHashes; sets of one SimHash are linked to the smallest."""
+    sims = cut(sets.groupBy("sim").agg(F.min("fp").alias("rep")))
+    same = sets.join(sims, "sim").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    near = simhash.ball_links(sims.select(F.col("sim").alias("fp")), sims.count())
+    end = lambda c: sims.select(F.col("sim").alias(c), F.col("rep").alias(f"{c}_rep"))
+    return same.union(near.join(end("a"), "a").join(end("b"), "b").select("a_rep", "b_rep"))
+
+
 def verified_links(texts: DataFrame, groups: int, shingle: int = SHINGLE) -> DataFrame:
     """(a, b): links between the members (fp, text) of each candidate component (root) of blocks blocks."""
 
@@ -153,21 +164,22 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         import xxhash
 
         for b in batches:
-            fps, bands, sizes = [], [], []
+            fps, sims, bands, sizes = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, shingle)
                 fps.append(xxhash.xxh64_intdigest(s.tobytes(), 9) if len(s) else 0)
+                sims.append(simhash.majority(s) if len(s) else 0)
                 bands.append(band_keys(s).tobytes() if len(s) else b"")
                 sizes.append(len(t))
-            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), fp, pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())], ["id", "th", "fp", "size", "bands"])
+            fp, sim = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, sims))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), fp, sim, pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())], ["id", "th", "fp", "sim", "size", "bands"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    key, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(text)
-    own = cut(docs.select(key.alias("id"), th.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long, size long, bands binary"))
+    key, th = id_key("doc_id"), F.xxhash64(text)
+    own = cut(docs.select(key.alias("id"), th.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long, sim long, size long, bands binary"))
     fps = cut(own.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first"), F.max("size").alias("size")))
-    sets = own.join(fps.select("first.id", "first.th"), ["id", "th"], "left_semi").where("fp <> 0").select("fp", "bands")
-    near = components(band_links(sets, fps.count()))
+    sets = own.join(fps.select("first.id", "first.th"), ["id", "th"], "left_semi").where("fp <> 0").select("fp", "sim", "bands")
+    near = components(band_links(sets.select("fp", "bands"), fps.count()).union(ball_links(sets.select("fp", "sim"))))
     members = cut(near.join(fps, near.node == fps.fp).select("root", "fp", "size", "first.id", "first.th"))
     blocks = members.groupBy("root").agg(F.sum("size").alias("all")).select("root", F.ceil(F.greatest(F.lit(1), F.col("all")) / BLOCK).cast("long").alias("blocks"), "all")
     volume = blocks.agg(F.coalesce(F.sum(F.col("all") * F.col("blocks")), F.lit(0))).first()[0]
@@ -177,8 +189,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least = labels.join(fps, labels.node == fps.fp).groupBy("root").agg(F.min("first").alias("first")).select("first")
     alone = fps.join(labels, fps.fp == labels.node, "left_anti").select("first")
     first = alone.union(least).select(F.col("first.id").alias("_key"), F.col("first.th").alias("_th"))
-    names = docs.columns
-    row = F.struct(F.col("text").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    kept = docs.select(key.alias("_key"), th.alias("_th"), row.alias("w")).join(first, ["_key", "_th"], "left_semi")
-    one = kept.groupBy("_key", "_th").agg(F.min("w").alias("w"))  # keeps the join's partitioning
-    return one.select(*[F.col(f"w.c{i}").alias(c) for i, c in enumerate(names)])
+    d, at = numbered(docs)
+    kept = d.select(id_key(at["doc_id"]).alias("_key"), F.xxhash64(F.coalesce(F.col(at["text"]), F.lit(""))).alias("_th"), F.struct(*d.columns).alias("w"), in_order(d).alias("by")).join(first, ["_key", "_th"], "left_semi")
+    one = kept.groupBy("_key", "_th").agg(F.min_by("w", "by").alias("w"))  # keeps the join's partitioning
+    return one.select(*[F.col(f"w.{c}").alias(c) for c in d.columns]).toDF(*docs.columns)

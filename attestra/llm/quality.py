@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_columns, real_id
+from .common import cut, doc_columns, id_key, numbered, real_id
 
 #: Labelled rows that the fit uses at most, those of the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -182,7 +182,11 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7, held_out: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """docs without those that the classifier rejects, all columns unchanged."""
-    good = classify(docs, labels, least).where("predicted = 1").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.lit(1).alias("_good"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.withColumn("_id", key).join(good.distinct(), "_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    """docs without those that the classifier rejects, all columns unchanged, whatever they are called.
+
+    Null and empty texts are scored as texts of no words; of rows that share a doc_id all stay if one is
+    good, null ids being one id; repeated rows stay or go together; an empty table gives an empty result.
+    """
+    good = classify(docs.select("doc_id", "text"), labels, least).where("predicted = 1").select(id_key("doc_id").alias("k")).distinct()
+    d, at = numbered(docs)
+    return d.withColumn("k", id_key(at["doc_id"])).join(good, "k", "left_semi").select(*d.columns).toDF(*docs.columns)

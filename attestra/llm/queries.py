@@ -65,11 +65,69 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def shard_sizes(spark, sf_dir):
+    """What SQL can tell of op2: each document once with its size."""
+    return op2_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
+def fingerprint_edits(spark, sf_dir):
+    """What SQL can tell of op4: lengths and edited texts."""
+    return op4_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secrets_base(spark, sf_dir):
+    """What SQL can tell of op5: the base spans."""
+    return op5_secrets(spark, sf_dir).drop("spans")
+
+
+def hmm_base(spark, sf_dir):
+    """What SQL can tell of op9: folds, counts and the unigram base."""
+    return op9_hmm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_sharding, op3_neighbours, op4_fingerprints, op5_secrets, op6_substrings, op7_quality, op8_mixing, op9_hmm, op10_packing, pipeline,
+    shard_sizes, fingerprint_edits, secrets_base, hmm_base,
 )}
 
+#: CRC-32 of a short ASCII string, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, range(0, 8 * len({0}))), lambda c, k: xor(
+  (CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr({0}, CAST(k // 8 + 1 AS BIGINT), 1))) ELSE c END) >> 1,
+  3988292384 * ((CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr({0}, CAST(k // 8 + 1 AS BIGINT), 1))) ELSE c END) & 1))), 4294967295)"""
+
+#: Spans of a pattern: code points before a match are those of the pieces of a split and of the matches before it.
+SPANS = r"""SELECT doc_id, {kind} AS kind, start, start + len(m) AS stop, m FROM (
+  SELECT doc_id, ms[i] AS m, CAST(coalesce(list_sum(list_transform(bs[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS start
+  FROM (SELECT doc_id, ms, bs, unnest(range(1, len(ms) + 1)) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS bs FROM d)))"""
+ASSIGN, ACCESS, HEX = secrets.ASSIGN.replace("'", "''"), "AKIA[A-Z0-9]+", "[0-9a-f]+"
+
 ORACLE_SQL = {
+    "shard_sizes": "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, 'bytes' AS law FROM documents",
+    "fingerprint_edits": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nxt FROM d)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, len(t) - len(t) // 4) || substr(nxt, 1, len(t) // 4)) AS edited_sha256 FROM n""",
+    "secrets_base": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (
+  SELECT doc_id, 0 AS kind, start, stop FROM ({SPANS.format(kind=0, p=ASSIGN)}) WHERE len(regexp_extract(m, '{ASSIGN}', 2)) >= 8
+  UNION ALL SELECT doc_id, kind, start, stop FROM ({SPANS.format(kind=1, p=ACCESS)}) WHERE len(m) >= 16
+  UNION ALL SELECT doc_id, kind, start, stop FROM ({SPANS.format(kind=2, p=HEX)}) WHERE len(m) >= 32)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind), '')) AS base_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id""",
+    "hmm_base": rf"""
+WITH d AS (
+  SELECT doc_id, {CRC32.format("CAST(doc_id AS VARCHAR)")} % 10 = 0 AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS w
+  FROM documents),
+k AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM k WHERE NOT held_out GROUP BY word),
+t AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT k.doc_id, k.held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(t.n) AS BIGINT) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 0.1) / (t.n + 0.1 * (t.v + 1)))), 4) AS base_score
+FROM k LEFT JOIN c ON k.word = c.word CROSS JOIN t GROUP BY k.doc_id, k.held_out""",
     "op8_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 #: Kinds and their patterns, in the order in which spans at one place are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -199,9 +199,9 @@ def detect(text: Column) -> tuple[Column, Column]:
     return F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))), tokens
 
 
-def detected(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    """(*keep, base, tokens) of each row: tokens only those that have an encoding and meet no base span."""
-    base, tokens = detect(F.coalesce(F.col("text"), F.lit("")))
+def detected(docs: DataFrame, text: str, *keep: Column | str) -> DataFrame:
+    """(*keep, _base, _tokens) of each row by its column text: tokens only those that have an encoding and meet no base span."""
+    base, tokens = detect(F.coalesce(F.col(text), F.lit("")))
     d = docs.select(*keep, base.alias("_base"), tokens.alias("_tokens"))
     apart = lambda x: x["t"]["enc"].isNotNull() & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     return d.withColumn("_tokens", F.filter("_tokens", apart))
@@ -268,22 +268,25 @@ def scan(docs: DataFrame) -> DataFrame:
     A null or empty text has none; a null doc_id stays null; repeated rows each come back; an
     empty table gives an empty result; other columns of docs are not looked at.
     """
-    found = cut(detected(docs, F.col("doc_id").cast("long").alias("doc_id")))
+    found = cut(detected(docs, "text", F.col("doc_id").cast("long").alias("doc_id")))
     base, every = all_spans(levels(found))
     return found.select("doc_id", base.alias("base_spans"), every.alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each found span of text replaced by mark (spans that overlap, by one); all other
-    columns and rows unchanged, null texts too."""
-    found = detected(docs, *[F.col(f"`{c}`") for c in docs.columns])
-    _, every = all_spans(levels(detected(docs)))
+    columns and rows unchanged, whatever they are called, null and empty texts too; repeated rows come
+    back alike; an empty table gives an empty result. Texts are searched once."""
+    d, at = numbered(docs)
+    text = at["text"]
+    found = cut(detected(d, text, *d.columns))
+    _, every = all_spans(levels(found))
 
     def step(acc, x):
         fresh = x["start"] >= acc["at"]
-        more = F.when(fresh, F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        more = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
 
-    cleaned = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    d = found.withColumn("_spans", every)
-    return d.select(*[F.when(F.size("_spans") > 0, cleaned).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    cleaned = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = found.withColumn("_spans", every)
+    return out.select(*[F.when(F.size("_spans") > 0, cleaned).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in d.columns]).toDF(*docs.columns)

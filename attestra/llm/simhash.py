@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, cut, doc_columns, real_id
+from .common import components, cut, doc_columns, id_key, in_order, numbered, real_id
 
 RADIUS = 3
 #: Fingerprints whose variants are made at once, variants of a bucket (about).
@@ -52,11 +52,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         v = [h(b" ".join(words), 42)]
     else:
         v = [h(b" ".join(g), 42) for g in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    return majority(np.array(v, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes h."""
     total = np.zeros(64, np.int64)
-    for i in range(0, len(v), 65_536):
-        part = np.array(v[i : i + 65_536], dtype="<u8")
+    for i in range(0, len(h), 65_536):
+        part = np.ascontiguousarray(h[i : i + 65_536], dtype="<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(v), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -172,13 +177,11 @@ def near_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs without near duplicates: of each component the row of the smallest doc_id stays, all
-    columns unchanged. Of rows that share this doc_id, one stays: the one of the smallest text."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    comp = near_components(docs, shingle)
-    first = comp.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    names = docs.columns
-    row = F.struct(F.col("text").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    kept = docs.select(key.alias("_key"), row.alias("w")).join(first, "_key", "left_semi")
-    one = kept.groupBy("_key").agg(F.min("w").alias("w"))  # keeps the join's partitioning
-    return one.select(*[F.col(f"w.c{i}").alias(c) for i, c in enumerate(names)])
+    """docs without near duplicates: of each component the row of the smallest doc_id stays, all columns
+    unchanged, whatever they are called. Of rows that share this doc_id, one stays: the one of the smallest text."""
+    comp = near_components(docs.select("doc_id", "text"), shingle)
+    first = comp.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("_key")).distinct()
+    d, at = numbered(docs)
+    kept = d.select(id_key(at["doc_id"]).alias("_key"), F.struct(*d.columns).alias("w"), F.struct(F.col(at["text"]).alias("t"), in_order(d)).alias("by")).join(first, "_key", "left_semi")
+    one = kept.groupBy("_key").agg(F.min_by("w", "by").alias("w"))  # keeps the join's partitioning
+    return one.select(*[F.col(f"w.{c}").alias(c) for c in d.columns]).toDF(*docs.columns)

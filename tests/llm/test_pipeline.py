@@ -77,3 +77,32 @@ def test_near_duplicate_stage_finds_edited_copies_and_verifies_them(spark, monke
     kept = [r.doc_id for r in out.collect()]
     assert len(kept) == len(set(kept)) and set(kept) == want
     assert nearcopies.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+CLASHES = ("_id", "_s", "_key", "_th", "times", "copy", "h", "h_id", "k", "w", "by", "_base", "_tokens", "_spans", "id", "fp", "below", "c0", "c1", "first")
+
+
+def test_stages_keep_extra_columns_and_nulls(spark, tmp_path):
+    """Every stage carries columns named as its own inside names, null texts, ids and sources, empty texts, and empty tables."""
+    text = lambda i: " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(60)) + "."
+    base = [(i, text(i), "s0") for i in range(40)] + [(50, None, "s1"), (51, "", None), (None, text(50), None), (52, text(52) + " secret: 0123456789abcdef", "s1"), (3, text(3), "s0")]
+    rows = [(*r, {"m": i}, *[f"{c}{i}" for c in CLASHES]) for i, r in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, maps map<string,long>, " + ", ".join(f"{c} string" for c in CLASHES))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = {r.c0: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r.asDict() | {"text": 0} == whole[r.c0].asDict() | {"text": 0} for r in got), name
+        if name == "secrets":
+            assert len(got) == len(rows) and {r.doc_id: r.text for r in got}[50] is None
+            assert next(r.text for r in got if r.doc_id == 52).endswith("[SECRET]")
+        if name == "near_duplicates":
+            ids = [r.doc_id for r in got]
+            assert sorted(ids, key=str) == sorted([*range(40), 50, 52, None], key=str)  # 51 is empty as 50 is; 3 came twice
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.columns == docs.columns and none.count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert {r.doc_id for r in packed(spark, docs, str(tmp_path)).collect()} == {r.doc_id for r in docs.collect()}
+    assert packed(spark, docs.limit(0), str(tmp_path)).count() == 0
