@@ -9,26 +9,58 @@ from .paths import base_name, extension
 
 # Extensions by category in order of priority; the first category that has one wins.
 CATEGORIES = (
-    ("raw", "dng cr2 cr3 crw nef nrw arw srf sr2 raf orf rw2 pef srw x3f 3fr fff iiq mef mos dcr kdc mrw erf gpr"),
-    ("image", "jpg jpeg jpe png apng gif webp avif bmp tiff tif ico heic heif hif jxl jp2 psd svg tga exr hdr"),
-    ("video", "mp4 m4v mov mkv webm avi wmv flv mpg mpeg vob ts mts m2ts tod 3gp 3g2 mxf r3d braw ogv dv"),
-    ("audio", "mp3 aac m4a m4b ogg oga opus wma flac alac ape wv tta wav aiff aif au mid midi amr dsf"),
-    ("sidecar", "xmp aae srt vtt ass ssa lrv thm moi cpi bdm mpl rmd ale sidecar cube md5 sha256 sfv nfo"),
-    ("ebook", "epub mobi azw azw3 kfx fb2 cbz cbr djvu"),
-    ("game", "nsp xci nds gba n64 sfc nes iso cue rvz"),
-    ("archive", "zip rar 7z tar gz tgz bz2 xz zst lz4 cab dmg vmdk apk deb rpm jar warc"),
-    ("font", "ttf otf woff woff2 eot ttc"),
-    ("geospatial", "gpx kml kmz geojson shp gpkg fit tcx osm"),
-    ("data", "parquet avro sqlite db npy h5"),
-    ("executable", "exe dll so dylib elf"),
-    ("document", "doc docx xls xlsx ppt pptx odt ods odp pdf rtf txt csv tsv md html htm xml json yaml yml eml msg js py rs go c h css"),
-)
-RAW_EXT = tuple("." + e for e in CATEGORIES[0][1].split())
+    ("raw", (
+        "dng", "cr2", "cr3", "crw", "nef", "nrw", "arw", "srf", "sr2", "raf", "orf", "rw2", "pef", "srw", "x3f", "3fr", "fff", "iiq",
+        "mef", "mos", "dcr", "kdc", "mrw", "erf", "gpr",
+    )),
+    ("image", (
+        "jpg", "jpeg", "jpe", "png", "apng", "gif", "webp", "avif", "bmp", "tiff", "tif", "ico", "heic", "heif", "hif", "jxl", "jp2",
+        "psd", "svg", "tga", "exr", "hdr",
+    )),
+    ("video", (
+        "mp4", "m4v", "mov", "mkv", "webm", "avi", "wmv", "flv", "mpg", "mpeg", "vob", "ts", "mts", "m2ts", "tod", "3gp", "3g2", "mxf",
+        "r3d", "braw", "ogv", "dv",
+    )),
+    ("audio", (
+        "mp3", "aac", "m4a", "m4b", "ogg", "oga", "opus", "wma", "flac", "alac", "ape", "wv", "tta", "wav", "aiff", "aif", "au", "mid",
+        "midi", "amr", "dsf",
+    )),
+    ("sidecar", (
+        "xmp", "aae", "srt", "vtt", "ass", "ssa", "lrv", "thm", "moi", "cpi", "bdm", "mpl", "rmd", "ale", "sidecar", "cube", "md5",
+        "sha256", "sfv", "nfo",
+    )),
+    ("ebook", (
+        "epub", "mobi", "azw", "azw3", "kfx", "fb2", "cbz", "cbr", "djvu",
+    )),
+    ("game", (
+        "nsp", "xci", "nds", "gba", "n64", "sfc", "nes", "iso", "cue", "rvz",
+    )),
+    ("archive", (
+        "zip", "rar", "7z", "tar", "gz", "tgz", "bz2", "xz", "zst", "lz4", "cab", "dmg", "vmdk", "apk", "deb", "rpm", "jar", "warc",
+    )),
+    ("font", (
+        "ttf", "otf", "woff", "woff2", "eot", "ttc",
+    )),
+    ("geospatial", (
+        "gpx", "kml", "kmz", "geojson", "shp", "gpkg", "fit", "tcx", "osm",
+    )),
+    ("data", (
+        "parquet", "avro", "sqlite", "db", "npy", "h5",
+    )),
+    ("executable", (
+        "exe", "dll", "so", "dylib", "elf",
+    )),
+    ("document", (
+        "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "pdf", "rtf", "txt", "csv", "tsv", "md", "html", "htm", "xml",
+        "json", "yaml", "yml", "eml", "msg", "js", "py", "rs", "go", "c", "h", "css",
+    )),
+)
+RAW_EXT = tuple("." + e for e in CATEGORIES[0][1])
 
 
 def extension_rows(categories=CATEGORIES) -> list[tuple[str, str, int]]:
     """(ext, category, priority); a longer table may be given in the same form."""
-    return [("." + e, name, i) for i, (name, exts) in enumerate(categories) for e in exts.split()]
+    return [("." + e, name, i) for i, (name, exts) in enumerate(categories) for e in exts]
 
 
 def extension_table(spark: SparkSession, categories=CATEGORIES) -> DataFrame:
@@ -39,7 +71,7 @@ def media_category(path: Column, categories=CATEGORIES) -> Column:
     """The category of a path's extension, whatever the case; 'other' if no category has it."""
     e, out = F.lower(extension(path)), F.lit("other")
     for name, exts in reversed(categories):
-        out = F.when(e.isin(*["." + x for x in exts.split()]), name).otherwise(out)
+        out = F.when(e.isin(*["." + x for x in exts]), name).otherwise(out)
     return out
 
 
@@ -89,30 +121,51 @@ DOCUMENT_MIME = ("application/pdf", "application/msword", "application/rtf", "te
 ARCHIVE_MIME = ("application/zip", "application/x-rar-compressed", "application/x-7z-compressed", "application/x-tar", "application/gzip", "application/x-bzip2", "application/x-xz")
 # Categories of extensions when no magic bytes are known.
 FALLBACK = (
-    ("sidecar", ".xmp .thm .lrf .lrv .aae .moi .cpi .bdm .mpl .rmd .ale .sidecar .nksc .gpr"),
-    ("document", ".txt .md .markdown .rst .csv .tsv"),
-    ("data", ".log .json .yaml .yml .xml"),
-    ("ebook", ".epub .mobi .azw .azw3 .azw4 .kfx .fb2"),
-    ("email", ".eml .msg .mbox"),
-    ("font", ".ttf .otf .woff .woff2 .eot"),
-    ("model3d", ".glb .gltf .obj .fbx .stl .dae .3ds .blend .usdz"),
-    ("calendar", ".ics .ical .vcs"),
-    ("contact", ".vcf .vcard"),
-    ("geospatial", ".gpx .kml .kmz .geojson .shp .gpkg .fit .tcx"),
-    ("subtitle", ".srt .vtt .ass .ssa .sub .sbv"),
-)
-SIDECARS = FALLBACK[0][1].split()
-SUBTITLES = FALLBACK[-1][1].split()
+    ("sidecar", (
+        ".xmp", ".thm", ".lrf", ".lrv", ".aae", ".moi", ".cpi", ".bdm", ".mpl", ".rmd", ".ale", ".sidecar", ".nksc", ".gpr",
+    )),
+    ("document", (
+        ".txt", ".md", ".markdown", ".rst", ".csv", ".tsv",
+    )),
+    ("data", (
+        ".log", ".json", ".yaml", ".yml", ".xml",
+    )),
+    ("ebook", (
+        ".epub", ".mobi", ".azw", ".azw3", ".azw4", ".kfx", ".fb2",
+    )),
+    ("email", (
+        ".eml", ".msg", ".mbox",
+    )),
+    ("font", (
+        ".ttf", ".otf", ".woff", ".woff2", ".eot",
+    )),
+    ("model3d", (
+        ".glb", ".gltf", ".obj", ".fbx", ".stl", ".dae", ".3ds", ".blend", ".usdz",
+    )),
+    ("calendar", (
+        ".ics", ".ical", ".vcs",
+    )),
+    ("contact", (
+        ".vcf", ".vcard",
+    )),
+    ("geospatial", (
+        ".gpx", ".kml", ".kmz", ".geojson", ".shp", ".gpkg", ".fit", ".tcx",
+    )),
+    ("subtitle", (
+        ".srt", ".vtt", ".ass", ".ssa", ".sub", ".sbv",
+    )),
+)
+SIDECARS = FALLBACK[0][1]
+SUBTITLES = FALLBACK[-1][1]
 
 
 def magic_mime(content: Column) -> tuple[Column, Column]:
-    """(MIME type, usual extension) by leading bytes; null if they say nothing."""
-    head = F.lower(F.hex(F.substring(content, 1, 300)))
-    mime, ext = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for at, magic, m, e in reversed(MAGIC):
-        hit = F.substring(head, 2 * at + 1, len(magic)) == magic
-        mime, ext = F.when(hit, m).otherwise(mime), F.when(hit, e).otherwise(ext)
-    return mime, ext
+    """(MIME type, usual extension) by leading bytes; null if they say nothing. The head is read once and the table
+    is an array, since a chain of conditions outgrows what Spark compiles."""
+    table = F.array(*[F.struct(F.lit(2 * at + 1).alias("at"), F.lit(magic).alias("magic"), F.lit(m).alias("mime"), F.lit(e).alias("ext")) for at, magic, m, e in MAGIC])
+    first = lambda head: F.get(F.filter(table, lambda r: F.substring(head, r["at"], F.length(r["magic"])) == r["magic"]), F.lit(0))
+    found = F.transform(F.array(F.lower(F.hex(F.substring(content, 1, 300)))), first)[0]
+    return found["mime"], found["ext"]
 
 
 def mime_category(mime: Column) -> Column:
@@ -129,7 +182,7 @@ def mime_category(mime: Column) -> Column:
 def fallback_category(ext: Column) -> Column:
     out = F.when(ext.isin(*RAW_EXT), "image").otherwise("other")
     for name, exts in FALLBACK:
-        out = F.when(ext.isin(*exts.split()), name).otherwise(out)
+        out = F.when(ext.isin(*exts), name).otherwise(out)
     return out
 
 
@@ -153,12 +206,19 @@ def subcategory(category: Column, mime: Column, ext: Column) -> Column:
 def detect_type(path: Column, content: Column) -> Column:
     """struct<category, subcategory, mime, ext, mismatch, by_magic>: magic bytes win; without any, the
     extension decides. mismatch: the declared extension is not the usual one of the content."""
-    ext = F.lower(extension(path))
     mime, usual = magic_mime(content)
-    found = mime.isNotNull()
-    m = F.coalesce(mime, fallback_mime(ext))
-    c = F.when(found, mime_category(mime)).otherwise(fallback_category(ext))
-    return F.struct(c.alias("category"), subcategory(c, m, ext).alias("subcategory"), m.alias("mime"), F.coalesce(usual, ext).alias("ext"), (found & (ext != usual)).alias("mismatch"), found.alias("by_magic"))
+
+    def decided(x: Column) -> Column:
+        ext, found = x["ext"], x["mime"].isNotNull()
+        m = F.coalesce(x["mime"], fallback_mime(ext))
+        c = F.when(found, mime_category(x["mime"])).otherwise(fallback_category(ext))
+        return F.struct(c.alias("category"), m.alias("mime"), F.coalesce(x["usual"], ext).alias("ext"), (found & (ext != x["usual"])).alias("mismatch"), found.alias("by_magic"), ext.alias("declared"))
+
+    def whole(x: Column) -> Column:
+        return F.struct(x["category"].alias("category"), subcategory(x["category"], x["mime"], x["declared"]).alias("subcategory"), *[x[c].alias(c) for c in ("mime", "ext", "mismatch", "by_magic")])
+
+    seen = F.array(F.struct(mime.alias("mime"), usual.alias("usual"), F.lower(extension(path)).alias("ext")))
+    return F.transform(F.transform(seen, decided), whole)[0]
 
 
 def is_sidecar(path: Column) -> Column:

@@ -61,6 +61,12 @@ def import_dedup(files: DataFrame, known: DataFrame | None = None, dedup: bool =
 
 
 def keep_latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row of each key: that of the largest order value."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row of each key: that of the largest order value; of equal ones the largest in the order of all columns."""
+    others = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_o"), *others)).alias("_b"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in rows.columns])
+
+
+def by_waste(groups: DataFrame) -> DataFrame:
+    """Duplicate groups, those that waste most first, ties by hash."""
+    return groups.orderBy(F.desc("wasted"), "hash")

@@ -108,6 +108,11 @@ def similarity_groups(pairs: DataFrame, threshold: int) -> DataFrame:
     return c.join(size, "root").join(direct, ["root", "node"], "left").select(F.col("root").alias("group_id"), F.col("root").alias("representative"), F.col("node").alias("member"), d.alias("distance"), "size")
 
 
+def by_size(groups: DataFrame) -> DataFrame:
+    """similarity_groups(), the largest first, ties by group and member."""
+    return groups.orderBy(F.desc("size"), "group_id", "member")
+
+
 def similarity_counts(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """One row: processed, pairs, unique (rows that no pair holds)."""
     inside = pairs.select("a").union(pairs.select("b")).distinct().agg(F.count("*").alias("_in"))

@@ -269,3 +269,14 @@ def import_counters(files: DataFrame) -> DataFrame:
 
 def basename_is(path: Column, names: list[str]) -> Column:
     return base_name(path).isin(names)
+
+
+def totals(devices: DataFrame, *columns: str) -> DataFrame:
+    """One row under the names of three columns: rows of the first, distinct values of the second, the sum of the third."""
+    device, maker, files = columns
+    return devices.agg(F.count(device).alias(device), F.countDistinct(maker).alias(maker), F.coalesce(F.sum(files), F.lit(0)).alias(files))
+
+
+def by_count(extensions: DataFrame, count: str = "count") -> DataFrame:
+    """Extensions, the most frequent first, ties by name."""
+    return extensions.orderBy(F.desc(count), "ext")

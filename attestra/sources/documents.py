@@ -224,15 +224,34 @@ def subtitle_stats(cues: DataFrame, key: str = "path") -> DataFrame:
 REQUIRED = ("ContentHash", "SourcePath", "ImportTimestamp", "SessionID")
 # Tags of the nested parts; a part is null unless one of its first tags is there.
 PARTS = {
-    "device": (14, "USBVendorID USBProductID USBSerial USBDevicePath USBDeviceName CardReaderVendor CardReaderModel CardReaderSerial MediaType MediaSerial MediaManufacturer MediaCapacity CameraBodySerial PhoneDeviceID USBBusLocation CardReaderPort MediaFirmware CameraInternalName TetheredConnection"),
-    "photo": (10, "CreationDevice CreationSoftware CaptureDate GPSLatitude GPSLongitude LensModel FocalLength Aperture ShutterSpeed ISO GPSAltitude ColorSpace BitDepth ICCProfile"),
-    "video": (6, "VideoContainer VideoCodec VideoResolution VideoWidth VideoHeight VideoDuration VideoFrameRate VideoFrameRateMode VideoBitRate VideoFrameCount VideoColorSpace VideoHDR VideoScanType AudioCodec AudioChannels AudioSampleRate AudioBitRate"),
-}
-CORE = "SchemaVersion SidecarCreated SidecarUpdated ContentHash ContentHashFull HashAlgorithm FileSize Verified SourceHash DestHash HashMatch FileCategory FileSubcategory DetectedMimeType DeclaredExtension ExtensionMismatch SourcePath SourceFilename SourceHost SourceVolume SourceVolumeSerial SourceType ImportTimestamp SessionID ToolVersion ImportUser ImportHost ImportPlatform OriginalMtime OriginalCtime OriginalBtime BatchID BatchName BatchSequence DedupStatus DuplicateOf WasRenamed OriginalFilename DestFilename IsLivePhoto LivePhotoRole RelationType IsPrimaryFile FirstSeen EventCount"
+    "device": (14, (
+        "USBVendorID", "USBProductID", "USBSerial", "USBDevicePath", "USBDeviceName", "CardReaderVendor", "CardReaderModel", "CardReaderSerial",
+        "MediaType", "MediaSerial", "MediaManufacturer", "MediaCapacity", "CameraBodySerial", "PhoneDeviceID", "USBBusLocation", "CardReaderPort",
+        "MediaFirmware", "CameraInternalName", "TetheredConnection",
+    )),
+    "photo": (10, (
+        "CreationDevice", "CreationSoftware", "CaptureDate", "GPSLatitude", "GPSLongitude", "LensModel", "FocalLength", "Aperture", "ShutterSpeed",
+        "ISO", "GPSAltitude", "ColorSpace", "BitDepth", "ICCProfile",
+    )),
+    "video": (6, (
+        "VideoContainer", "VideoCodec", "VideoResolution", "VideoWidth", "VideoHeight", "VideoDuration", "VideoFrameRate", "VideoFrameRateMode",
+        "VideoBitRate", "VideoFrameCount", "VideoColorSpace", "VideoHDR", "VideoScanType", "AudioCodec", "AudioChannels", "AudioSampleRate",
+        "AudioBitRate",
+    )),
+}
+# Tags of the record itself, in the order in which they are written.
+CORE = (
+    "SchemaVersion", "SidecarCreated", "SidecarUpdated", "ContentHash", "ContentHashFull", "HashAlgorithm", "FileSize", "Verified", "SourceHash",
+    "DestHash", "HashMatch", "FileCategory", "FileSubcategory", "DetectedMimeType", "DeclaredExtension", "ExtensionMismatch", "SourcePath",
+    "SourceFilename", "SourceHost", "SourceVolume", "SourceVolumeSerial", "SourceType", "ImportTimestamp", "SessionID", "ToolVersion", "ImportUser",
+    "ImportHost", "ImportPlatform", "OriginalMtime", "OriginalCtime", "OriginalBtime", "BatchID", "BatchName", "BatchSequence", "DedupStatus",
+    "DuplicateOf", "WasRenamed", "OriginalFilename", "DestFilename", "IsLivePhoto", "LivePhotoRole", "RelationType", "IsPrimaryFile", "FirstSeen",
+    "EventCount",
+)
 HASH_LINE = r"\n?[ \t]*<wnb:SidecarHash>[^<]*</wnb:SidecarHash>"
 
 
-def wnb(text: str | Column, tag: str) -> Column:
+def field(text: str | Column, tag: str) -> Column:
     return xml_unescape(tag_text(F.col(text) if isinstance(text, str) else text, f"wnb:{tag}"))
 
 
@@ -249,16 +268,15 @@ def sidecar_records(docs: DataFrame, text: str = "text") -> DataFrame:
     from attestra.functions.hashing import blake3_full
 
     t = F.col(text)
-    cols = [wnb(t, tag).alias(snake(tag)) for tag in CORE.split()]
+    cols = [field(t, tag).alias(snake(tag)) for tag in CORE]
     for name, (n, tags) in PARTS.items():
-        tags = tags.split()
-        some = F.coalesce(*[wnb(t, tag) for tag in tags[:n]]).isNotNull()
-        cols.append(F.when(some, F.struct(*[wnb(t, tag).alias(snake(tag)) for tag in tags])).alias(name))
-    event = lambda b: F.struct(*[wnb(b, tag).alias(snake(tag)) for tag in ("EventID", "EventTimestamp", "EventAction", "EventOutcome", "EventLocation", "EventUser", "EventHost", "EventTool", "EventHashValue", "EventNotes")])
+        some = F.coalesce(*[field(t, tag) for tag in tags[:n]]).isNotNull()
+        cols.append(F.when(some, F.struct(*[field(t, tag).alias(snake(tag)) for tag in tags])).alias(name))
+    event = lambda b: F.struct(*[field(b, tag).alias(snake(tag)) for tag in ("EventID", "EventTimestamp", "EventAction", "EventOutcome", "EventLocation", "EventUser", "EventHost", "EventTool", "EventHashValue", "EventNotes")])
     chain = F.regexp_extract(t, r"(?is)<wnb:CustodyChain>(.*?)</wnb:CustodyChain>", 1)
     cols.append(F.transform(F.filter(blocks(chain, "rdf:li"), lambda b: F.contains(b, F.lit("wnb:EventID"))), event).alias("custody"))
-    stored, actual = wnb(t, "SidecarHash"), F.substring(blake3_full(F.regexp_replace(t, HASH_LINE, "")), F.lit(1), F.length(wnb(t, "SidecarHash")))
-    missing = F.filter(F.array(*[F.when(wnb(t, tag).isNull(), F.lit(f"missing {tag}")) for tag in REQUIRED]), lambda x: x.isNotNull())
+    stored, actual = field(t, "SidecarHash"), F.substring(blake3_full(F.regexp_replace(t, HASH_LINE, "")), F.lit(1), F.length(field(t, "SidecarHash")))
+    missing = F.filter(F.array(*[F.when(field(t, tag).isNull(), F.lit(f"missing {tag}")) for tag in REQUIRED]), lambda x: x.isNotNull())
     wrong = F.when(stored != actual, F.array(F.lit("self-hash disagrees"))).otherwise(F.array().cast("array<string>"))
     errors = F.concat(F.when(~F.contains(t, F.lit("<x:xmpmeta")), F.array(F.lit("not a sidecar"))).otherwise(F.array().cast("array<string>")), missing, wrong)
     out = docs.select("*", *cols, errors.alias("errors"), F.when(stored.isNull(), F.array(F.lit("no self-hash"))).otherwise(F.array().cast("array<string>")).alias("warnings"))

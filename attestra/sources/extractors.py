@@ -196,14 +196,21 @@ def exif(data: bytes) -> dict:
 EXTRACTORS: dict[str, Callable[[bytes], dict]] = {"office": office, "epub": epub, "archive": archive, "email": email, "mesh": mesh, "font": font, "pdf": pdf, "exif": exif}
 # Extensions by extractor.
 BY_EXTENSION = {
-    "office": ".docx .xlsx .pptx", "epub": ".epub", "archive": ".zip .tar .tgz .gz .bz2 .xz .jar", "email": ".eml", "mesh": ".obj .stl .glb", "font": ".ttf .otf", "pdf": ".pdf", "exif": ".jpg .jpeg .jpe .tif .tiff .dng .nef .cr2 .arw",
-}
+    "office": (".docx", ".xlsx", ".pptx",),
+    "epub": (".epub",),
+    "archive": (".zip", ".tar", ".tgz", ".gz", ".bz2", ".xz", ".jar",),
+    "email": (".eml",),
+    "mesh": (".obj", ".stl", ".glb",),
+    "font": (".ttf", ".otf",),
+    "pdf": (".pdf",),
+    "exif": (".jpg", ".jpeg", ".jpe", ".tif", ".tiff", ".dng", ".nef", ".cr2", ".arw",),
+}
 
 
 def extract(files: DataFrame, extractor: str | None = None, key: str = "path", content: str = "content", prefix: bool = True) -> DataFrame:
     """(key, extractor, tags map<string,string>, error) of each row; without a name the extractor is
     chosen by the key's extension, and rows that have none give null tags. Lists are JSON texts."""
-    ext = {e: n for n, es in BY_EXTENSION.items() for e in es.split()}
+    ext = {e: n for n, es in BY_EXTENSION.items() for e in es}
 
     def run(frames):
         for pdf_ in frames:

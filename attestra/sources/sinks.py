@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.hashing import blake3_full
+from attestra.functions.metadata import last_wins
 from attestra.functions.paths import xml_escape
 
 from .documents import CORE, PARTS, snake
@@ -191,10 +192,10 @@ def sidecar_text(columns: list[str]) -> Column:
     line = lambda tag, c, pad="      ": F.when(c.isNotNull(), F.concat(F.lit(f"{pad}<wnb:{tag}>"), xml_escape(c.cast("string")), F.lit(f"</wnb:{tag}>\n"))).otherwise("")
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/">\n  <rdf:RDF\n    xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"\n    xmlns:wnb="{NAMESPACE}">\n    <rdf:Description rdf:about="">\n'
     parts = [F.lit(head)]
-    parts += [line(t, F.col(snake(t))) for t in CORE.split() if snake(t) in have]
+    parts += [line(t, F.col(snake(t))) for t in CORE if snake(t) in have]
     for name, (_, tags) in PARTS.items():
         if name in have:
-            parts += [line(t, F.col(f"{name}.{snake(t)}")) for t in tags.split()]
+            parts += [line(t, F.col(f"{name}.{snake(t)}")) for t in tags]
     if "custody" in have:
         event = lambda e: F.concat(F.lit("          <rdf:li rdf:parseType=\"Resource\">\n"), *[line(t, e[snake(t)], "            ") for t in EVENT_TAGS], F.lit("          </rdf:li>\n"))
         chain = F.concat(F.lit("      <wnb:CustodyChain>\n        <rdf:Seq>\n"), F.array_join(F.transform("custody", event), ""), F.lit("        </rdf:Seq>\n      </wnb:CustodyChain>\n"))
@@ -242,9 +243,12 @@ def write_documents(docs: DataFrame, path: str = "path", text: str = "text") ->
     return docs.select(path, text).mapInPandas(run, "path string, error string")
 
 
-def metadata_json(m: Column) -> Column:
-    """All tags as JSON; binary values as their size."""
-    return F.to_json(m)
+def metadata_json(tags: Column, binary: Column | None = None) -> Column:
+    """A map of tags as JSON; those of a second map, of binary values, by their size."""
+    if binary is not None:
+        sizes = F.transform_values(binary, lambda _, v: F.concat(F.lit("(Binary data "), F.octet_length(v), F.lit(" bytes)")))
+        tags = last_wins(tags, sizes)
+    return F.to_json(tags)
 
 
 # --- file actions ---------------------------------------------------------------------------------------

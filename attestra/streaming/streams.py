@@ -68,11 +68,17 @@ def ewma_stream(stream: DataFrame, key: str, order: str, value: str, alpha: floa
     return rows.groupBy("key").applyInPandasWithState(update, f"key {kind}, ewma double, n long", "mean double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def match_in_time(files: DataFrame, points: DataFrame, tolerance: str = "1 hour", late: str = "2 hours") -> DataFrame:
+def match_in_time(files: DataFrame, points: DataFrame, tolerance_s: int = 3600, late: str = "2 hours") -> DataFrame:
     """Pairs of a stream of files (file, file_ts) and one of waypoints (ts, latitude, longitude) within
-    the tolerance; watermarks bound what either side keeps."""
-    f, p = files.withWatermark("file_ts", late), points.withWatermark("ts", late)
-    return f.join(p, F.expr(f"ts BETWEEN file_ts - INTERVAL {tolerance} AND file_ts + INTERVAL {tolerance}")).select("file", "file_ts", "ts", "latitude", "longitude")
+    the tolerance. Both meet on buckets of time as wide as the tolerance, since streams join on equal keys
+    only: a file asks its own bucket and both beside it. Watermarks bound what either side keeps."""
+    width = max(1, int(tolerance_s * 1_000_000))
+    bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / width).cast("long")
+    near = F.explode(F.array(*[bucket(F.col("file_ts")) + k for k in (-1, 0, 1)]))
+    f = files.withWatermark("file_ts", late).withColumn("_bucket", near)
+    p = points.withWatermark("ts", late).withColumn("_at", bucket(F.col("ts")))
+    span = F.expr(f"ts BETWEEN file_ts - INTERVAL {int(tolerance_s)} SECONDS AND file_ts + INTERVAL {int(tolerance_s)} SECONDS")
+    return f.join(p, (F.col("_bucket") == F.col("_at")) & span).select("file", "file_ts", "ts", "latitude", "longitude")
 
 
 class ProgressLog(StreamingQueryListener):
