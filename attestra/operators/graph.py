@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,25 +74,43 @@ def similarity_percent(distance: Column, bits: int = 64) -> Column:
     return (F.lit(float(bits)) - distance) / bits * 100
 
 
+def band_plan(threshold: int, n: int, most: int = 20_000) -> tuple[list[int], int]:
+    """(edges of the bands, flips within one) for hashes within threshold bits, n of them: of two such hashes, m bands
+    have one with at most threshold // m differing bits. Chosen is the m of the least work for a hash: the
+    variants that it emits, at most `most`, and the hashes that it meets by chance."""
+    best = None
+    for m in range(1, min(64, threshold + 1) + 1):
+        edges, flips = [64 * i // m for i in range(m + 1)], threshold // m
+        widths = [edges[i + 1] - edges[i] for i in range(m)]
+        emitted = [sum(math.comb(w, k) for k in range(flips + 1)) for w in widths]
+        if sum(emitted) <= most:
+            work = sum(emitted) + n / 2 * sum(v / 2.0**w for v, w in zip(emitted, widths, strict=True))
+            best = min(best or (work, edges, flips), (work, edges, flips))
+    return best[1], best[2]
+
+
 def hamming_pairs(rows: DataFrame, key: str, bits: str, threshold: int = 10) -> DataFrame:
     """(a, b, distance): pairs of different keys, a < b, whose 64-bit hashes differ in at most threshold bits.
 
-    The word is cut into threshold + 1 bands, of which two such hashes agree in one at least. The
-    join runs over distinct hashes, so equal ones do not meet band by band; a pair is kept at the
-    first band that it shares.
+    The word is cut into bands, in one of which two such hashes differ by a few bits at most. One side emits its
+    bands with all such flips, the other its bands as they are, and they meet on equal ones. The join runs over distinct hashes,
+    so equal ones do not meet band by band; a pair is kept at the first band that brings it together.
     """
-    n = min(64, threshold + 1)
-    edges = [64 * i // n for i in range(n + 1)]
-    part = lambda i: F.shiftrightunsigned(bits, edges[i]).bitwiseAND(F.lit((1 << min(63, edges[i + 1] - edges[i])) - 1)) if n > 1 else F.col(bits)
-    h = rows.where(F.col(bits).isNotNull()).select(bits).distinct()
-    banded = h.select(bits, F.posexplode(F.array(*[part(i) for i in range(n)])).alias("band", "value"))
-    x, y = banded.select(F.col(bits).alias("x"), "band", "value"), banded.select(F.col(bits).alias("y"), "band", "value")
-    d = hamming(F.col("x"), F.col("y"))
-    first = F.lit(None).cast("int")
-    both = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit((1 << min(63, edges[i + 1] - edges[i])) - 1)) if n > 1 else F.col(c)
-    for i in range(n - 1, -1, -1):
-        first = F.when(both("x", i) == both("y", i), i).otherwise(first)
-    near = x.join(y, ["band", "value"]).where("x < y").where(d <= threshold).where(F.col("band") == first).select("x", "y", d.alias("distance"))
+    h = cut(rows.where(F.col(bits).isNotNull()).select(F.col(bits).cast("long").alias("x")).distinct())
+    edges, flips = band_plan(threshold, h.count())
+    widths = [edges[i + 1] - edges[i] for i in range(len(edges) - 1)]
+    part = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit((1 << widths[i]) - 1)) if widths[i] < 64 else c
+    banded = h.select("x", F.posexplode(F.array(*[part(F.col("x"), i) for i in range(len(widths))])).alias("band", "value"))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [(i, signed(sum(1 << j for j in c))) for i, w in enumerate(widths) for k in range(flips + 1) for c in itertools.combinations(range(w), k)]
+    asks = banded
+    if flips:
+        table = h.sparkSession.createDataFrame(masks, "band int, mask long")  # band_plan() bounds its rows
+        asks = banded.join(F.broadcast(table), "band").select("x", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    near = asks.join(banded.select(F.col("x").alias("y"), "band", "value"), ["band", "value"]).where("x < y")
+    both = F.col("x").bitwiseXOR(F.col("y"))
+    first = F.coalesce(*[F.when(F.bit_count(part(both, i)) <= flips, i) for i in range(len(widths))])
+    near = near.where(F.bit_count(both) <= threshold).where(F.col("band") == first).select("x", "y", F.bit_count(both).alias("distance"))
     k = rows.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("h"))
     across = near.join(k.select(F.col("k").alias("k1"), F.col("h").alias("x")), "x").join(k.select(F.col("k").alias("k2"), F.col("h").alias("y")), "y")
     across = across.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "distance")

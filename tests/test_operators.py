@@ -159,3 +159,23 @@ def test_progress(spark):
     assert w.ewma == 11.5
     p = spark.range(1).select(registry.overall_percent(F.lit("hashing"), F.lit(50.0)), registry.overall_percent(F.lit("renaming"), F.lit(1.0)), registry.eta_ms(F.lit(100), F.lit(10.0), F.lit(0), F.lit(0.0), F.lit(2), F.lit(10**6))).first()
     assert list(p) == [22.5, 100.0, None]
+
+
+def test_hamming_bands_of_every_threshold(spark, monkeypatch):
+    """Pairs at each distance, at both ends of the word, are found whatever bands are chosen."""
+    import random
+
+    from attestra.operators import graph
+
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(12)]
+    words = base + [b ^ sum(1 << i for i in r.sample(range(64), d)) for b in base for d in (1, 3, 8, 10, 11, 20)] + [0, 1 << 63, (1 << 64) - 1]
+    rows = [(i, w - (1 << 64) if w >> 63 else w) for i, w in enumerate(words)]
+    d = spark.createDataFrame(rows, "k long, h long")
+    for threshold, n in ((0, 10), (3, 10), (10, 10), (10, 10**7), (20, 10)):
+        plan = graph.band_plan(threshold, n)
+        monkeypatch.setattr(graph, "band_plan", lambda *_, plan=plan: plan)
+        want = {(i, j, bin(words[i] ^ words[j]).count("1")) for j in range(len(words)) for i in range(j) if bin(words[i] ^ words[j]).count("1") <= threshold}
+        assert {tuple(x) for x in graph.hamming_pairs(d, "k", "h", threshold).collect()} == want, (threshold, plan)
+        monkeypatch.undo()
+    assert graph.band_plan(10, 10**6)[1] == 2  # 4 bands of 16 bits and two flips: under 1 % of all pairs meet
