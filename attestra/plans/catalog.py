@@ -86,6 +86,13 @@ def content_hashes(spark, sf_dir):
     return hashing.all_hashes(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
 
 
+@query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+def content_digests(spark, sf_dir):
+    """What SQL can tell of content_hashes."""
+    h = hashing.all_hashes(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return h.select("doc_id", "md5", "sha256")
+
+
 HASHES = "SELECT doc_id, md5(text) AS h FROM documents UNION ALL SELECT doc_id, sha256(text) FROM documents UNION ALL SELECT doc_id, upper(sha1(text)) FROM documents UNION ALL SELECT doc_id, substr(sha256(text), 1, 16) FROM documents"
 
 
