@@ -6,6 +6,7 @@ import math
 import sys
 import types
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,18 @@ def real_id(c: str | Column) -> Column:
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(NULL_ID))
 
 
+def slices(batch, column: str, size: int = 4 << 20):
+    """The Arrow batch in slices of about size bytes of its string column, a row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    k = 0
+    while k < batch.num_rows:
+        z = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size)))
+        yield batch.slice(k, z - k)
+        k = z
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     return sys.modules.setdefault("_attestra_worker_cache", types.ModuleType("_attestra_worker_cache")).__dict__

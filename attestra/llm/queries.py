@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, hmm, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings
+from . import fingerprint, hmm, middle, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_middle(spark, sf_dir):
+    moved = middle.restore(middle.transform(table(spark, sf_dir, "documents")))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -86,7 +91,7 @@ def hmm_base(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_sharding, op3_neighbours, op4_fingerprints, op5_secrets, op6_substrings, op7_quality, op8_mixing, op9_hmm, op10_packing, pipeline,
+    op1_simhash, op2_sharding, op3_neighbours, op4_fingerprints, op5_secrets, op6_substrings, op7_quality, op8_mixing, op9_hmm, op10_packing, op11_middle, pipeline,
     shard_sizes, fingerprint_edits, secrets_base, hmm_base,
 )}
 
@@ -103,6 +108,18 @@ SPANS = r"""SELECT doc_id, {kind} AS kind, start, start + len(m) AS stop, m FROM
 ASSIGN, ACCESS, HEX = secrets.ASSIGN.replace("'", "''"), "AKIA[A-Z0-9]+", "[0-9a-f]+"
 
 ORACLE_SQL = {
+    "op11_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, [CAST('0x' || substr(x, k, 8) AS BIGINT) FOR k IN [1, 9, 17, 25]] AS h FROM d),
+c AS (SELECT *, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS z FROM u),
+p AS (
+  SELECT doc_id, t, n, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:z], '') AS m, array_to_string(w[z + 1:], '') AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(len(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(len(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""",
     "shard_sizes": "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, 'bytes' AS law FROM documents",
     "fingerprint_edits": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
