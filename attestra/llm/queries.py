@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, hmm, middle, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings
+from . import fingerprint, hmm, middle, mixing, neighbours, packing, quality, repair, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -64,6 +64,11 @@ def op11_middle(spark, sf_dir):
     return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.with_reports(conversations, repair.damage(conversations))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -91,7 +96,7 @@ def hmm_base(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_sharding, op3_neighbours, op4_fingerprints, op5_secrets, op6_substrings, op7_quality, op8_mixing, op9_hmm, op10_packing, op11_middle, pipeline,
+    op1_simhash, op2_sharding, op3_neighbours, op4_fingerprints, op5_secrets, op6_substrings, op7_quality, op8_mixing, op9_hmm, op10_packing, op11_middle, op12_repair, pipeline,
     shard_sizes, fingerprint_edits, secrets_base, hmm_base,
 )}
 
@@ -100,6 +105,12 @@ CRC32 = """xor(list_reduce(list_prepend(4294967295, range(0, 8 * len({0}))), lam
   (CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr({0}, CAST(k // 8 + 1 AS BIGINT), 1))) ELSE c END) >> 1,
   3988292384 * ((CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr({0}, CAST(k // 8 + 1 AS BIGINT), 1))) ELSE c END) & 1))), 4294967295)"""
 
+#: A state of the repair in SQL: the least (cost, audit, repaired rows) of what reaches it.
+STEP = "CASE WHEN {p} IS NOT NULL THEN {{'c': {p}['c'] + {w}, 'a': {p}['a'] || '{x}', 'm': {m}}} END"
+NONE = "CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, m VARCHAR[]))"
+ADD = lambda p, w, x, row: STEP.format(p=p, w=w, x=x, m=f"list_append({p}['m'], {row})")
+ANY_USER = lambda w, x, row, *of: ", ".join(ADD(p, w, x, row) for p in of)
+
 #: Spans of a pattern: code points before a match are those of the pieces of a split and of the matches before it.
 SPANS = r"""SELECT doc_id, {kind} AS kind, start, start + len(m) AS stop, m FROM (
   SELECT doc_id, ms[i] AS m, CAST(coalesce(list_sum(list_transform(bs[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS start
@@ -108,6 +119,45 @@ SPANS = r"""SELECT doc_id, {kind} AS kind, start, start + len(m) AS stop, m FROM
 ASSIGN, ACCESS, HEX = secrets.ASSIGN.replace("'", "''"), "AKIA[A-Z0-9]+", "[0-9a-f]+"
 
 ORACLE_SQL = {
+    "op12_repair": rf"""
+WITH RECURSIVE
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT *, {CRC32.format("key")} % 20 AS k FROM c),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM k WHERE k <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM d),
+f AS (
+  SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN bare = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM o)),
+r AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM f GROUP BY conv_id),
+w(conv_id, i, n0, n1, n2, n3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 'm': CAST([] AS VARCHAR[])}}, {NONE}, {NONE}, {NONE} FROM r
+  UNION ALL
+  SELECT conv_id, i, m0, m1, m2, m3 FROM (
+    SELECT f.conv_id, f.i, f.fault IN (1, 2) AS gone, CASE WHEN f.fault = 3 THEN 1 ELSE 0 END AS t,
+           least(n2, {ANY_USER(2, "I", "'user:'", "n0", "n1", "n3")}) AS e2, least(n3, {ADD("e2", 2, "I", "'assistant:'")}) AS e3,
+           {STEP.format(p="n0", w=3, x="D", m="n0['m']")} AS m0,
+           least({STEP.format(p="n1", w=3, x="D", m="n1['m']")}, CASE WHEN NOT gone AND x = 's' THEN {ADD("n0", "t", "K", "role || ':' || text")} END) AS m1,
+           least({STEP.format(p="e2", w=3, x="D", m="e2['m']")}, CASE WHEN NOT gone THEN least({ANY_USER("2 + t", "R", "'user:' || text", "n0", "n1", "e3")}) END,
+                 CASE WHEN NOT gone AND x = 'u' THEN least({ANY_USER("t", "K", "role || ':' || text", "n0", "n1", "e3")}) END) AS m2,
+           least({STEP.format(p="e3", w=3, x="D", m="e3['m']")}, CASE WHEN NOT gone THEN {ADD("e2", "2 + t", "R", "'assistant:' || text")} END,
+                 CASE WHEN NOT gone AND x = 'a' THEN {ADD("e2", "t", "K", "role || ':' || text")} END) AS m3
+    FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1)),
+b AS (
+  SELECT r.*, least(n2, {ANY_USER(2, "I", "'user:'", "n0", "n1", "n3")}) AS e2, least(n0, n3, {ADD("e2", 2, "I", "'assistant:'")}) AS best
+  FROM w JOIN r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.i = r.n)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(best['c'], 0) AS BIGINT) AS cost, coalesce(best['a'], '') AS audit, sha256(coalesce(array_to_string(best['m'], chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id""",
     "op11_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
 u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, [CAST('0x' || substr(x, k, 8) AS BIGINT) FOR k IN [1, 9, 17, 25]] AS h FROM d),
