@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, hmm, middle, mixing, neighbours, packing, quality, repair, secrets, sharding, simhash, substrings
+from . import fingerprint, hmm, middle, mixing, neighbours, packing, quality, repair, secrets, sharding, simhash, substrings, suffixes
 from .common import table
 
 
@@ -69,6 +69,11 @@ def op12_repair(spark, sf_dir):
     return repair.with_reports(conversations, repair.damage(conversations))
 
 
+def op13_suffixes(spark, sf_dir):
+    kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -96,7 +101,7 @@ def hmm_base(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_sharding, op3_neighbours, op4_fingerprints, op5_secrets, op6_substrings, op7_quality, op8_mixing, op9_hmm, op10_packing, op11_middle, op12_repair, pipeline,
+    op1_simhash, op2_sharding, op3_neighbours, op4_fingerprints, op5_secrets, op6_substrings, op7_quality, op8_mixing, op9_hmm, op10_packing, op11_middle, op12_repair, op13_suffixes, pipeline,
     shard_sizes, fingerprint_edits, secrets_base, hmm_base,
 )}
 
@@ -119,6 +124,17 @@ SPANS = r"""SELECT doc_id, {kind} AS kind, start, start + len(m) AS stop, m FROM
 ASSIGN, ACCESS, HEX = secrets.ASSIGN.replace("'", "''"), "AKIA[A-Z0-9]+", "[0-9a-f]+"
 
 ORACLE_SQL = {
+    "op13_suffixes": r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, lower(hex(b)) AS x, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM h)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE doc_id > first),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r) GROUP BY doc_id, k),
+e AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM p GROUP BY doc_id)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(z) - list_sum(a), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN a IS NULL THEN b ELSE unhex(array_to_string([substr(x, 2 * CASE WHEN k = 1 THEN 0 ELSE z[k - 1] END + 1, 2 * (CASE WHEN k > len(a) THEN n ELSE a[k] END - CASE WHEN k = 1 THEN 0 ELSE z[k - 1] END)) FOR k IN range(1, len(a) + 2)], '')) END) AS kept_sha256
+FROM h JOIN d USING (doc_id) LEFT JOIN e ON h.doc_id = e.doc_id""",
     "op12_repair": rf"""
 WITH RECURSIVE
 c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
