@@ -1,15 +1,17 @@
 """Time-based location matching: nearest in time, interpolation, and the whole enrichment.
 
 files: (file, file_ts timestamp); waypoints: (track, seq, ts timestamp, latitude, longitude,
-altitude). Both joins cut time into buckets as wide as the tolerance or the longest segment class
-and meet on equal buckets, so neither is a theta join over all pairs.
+altitude). Both joins put files and waypoints on one timeline in chunks (see ordered), so that neither
+pairs files with waypoints and one track or user may hold any share of all rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Ordered, first_cover, last_value, next_value, row_after, row_number
+
 STRATEGIES = ("timestamp", "interpolate", "nearest")
 
 
@@ -19,21 +21,22 @@ def micros(c: str | Column) -> Column:
 
 def nearest_in_time(files: DataFrame, waypoints: DataFrame, tolerance_s: float = 3600, offset_s: float = 0, by: list[str] | None = None, file: str = "file") -> DataFrame:
     """(*by, file, latitude, longitude, altitude, time_delta_s, confidence): for each file the
-    waypoint nearest in time within the tolerance, ties to the earlier; files without one are left out.
+    waypoint nearest in time within the tolerance, ties to the earlier, of equal times that of the smallest track and
+    seq; files without one are left out, of a file's several times the nearest counts.
 
     confidence is 1 - delta / tolerance; with a tolerance of 0, 1. by: columns that both sides share and that must agree.
+    A file meets the last waypoint before it and the first after it on one timeline, and no others.
     """
     by = by or []
-    width = max(1, int(tolerance_s * 1_000_000))
-    f = files.select(*by, F.col(file).alias("file"), (micros("file_ts") + int(offset_s * 1_000_000)).alias("_t")).where("_t is not null")
-    f = f.withColumn("_b", F.floor(F.col("_t") / width).cast("long"))
-    f = f.withColumn("_bucket", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
-    w = waypoints.select(*by, micros("ts").alias("_w"), "seq", "track", "latitude", "longitude", "altitude").where("_w is not null")
-    w = w.withColumn("_bucket", F.floor(F.col("_w") / width).cast("long"))
-    gap = F.abs(F.col("_w") - F.col("_t"))
-    j = f.join(w, [*by, "_bucket"]).where(gap <= int(tolerance_s * 1_000_000))
-    best = F.min(F.struct(gap.alias("gap"), F.col("_w"), F.col("track"), F.col("seq"), F.col("latitude"), F.col("longitude"), F.col("altitude")))
-    m = j.groupBy(*by, "file").agg(best.alias("m"))
+    f = files.select(*by, (micros("file_ts") + int(offset_s * 1_000_000)).alias("_t"), F.lit(1).alias("_kind"), F.col(file).alias("file")).where("_t is not null")
+    point = F.min(F.struct("track", "seq", "latitude", "longitude", "altitude")).alias("_p")
+    w = waypoints.select(*by, micros("ts").alias("_t"), "track", "seq", "latitude", "longitude", "altitude").where("_t is not null").groupBy(*by, "_t").agg(point)
+    w = w.select(*by, "_t", F.lit(0).alias("_kind"), F.struct(F.col("_t").alias("w"), "_p.*").alias("_p"))
+    line = Ordered(f.unionByName(w, allowMissingColumns=True), by, ["_t", "_kind", "file"])
+    met = line.scan(before=last_value("_p"), after=next_value("_p")).where("_kind = 1")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.w") - F.col("_t")).alias("gap"), F.col(f"{c}.w"), F.col(f"{c}.latitude"), F.col(f"{c}.longitude"), F.col(f"{c}.altitude")))
+    m = met.select(*by, "file", F.least(near("before"), near("after")).alias("m")).where(F.col("m.gap") <= int(tolerance_s * 1_000_000))
+    m = m.groupBy(*by, "file").agg(F.min("m").alias("m"))
     delta = F.col("m.gap") / F.lit(1e6)
     sure = F.coalesce(1 - F.try_divide(delta, F.lit(float(tolerance_s))), F.lit(1.0))
     return m.select(*by, "file", "m.latitude", "m.longitude", "m.altitude", delta.alias("time_delta_s"), sure.alias("confidence"))
@@ -42,28 +45,22 @@ def nearest_in_time(files: DataFrame, waypoints: DataFrame, tolerance_s: float =
 def segments(waypoints: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Consecutive timed points of each track: (*by, track, seg, t1, t2, and both points' places)."""
     by = by or []
-    w = Window.partitionBy(*by, "track").orderBy("_w", "seq")
-    p = waypoints.select(*by, "track", "seq", micros("ts").alias("_w"), "latitude", "longitude", "altitude").where("_w is not null")
-    p = p.select("*", F.row_number().over(w).alias("seg"), *[F.lead(c).over(w).alias(f"{c}2") for c in ("_w", "latitude", "longitude", "altitude")])
-    return p.where("_w2 is not null").withColumnsRenamed({"_w": "t1", "_w2": "t2"})
+    p = waypoints.select(*by, "track", micros("ts").alias("t1"), "seq", "latitude", "longitude", "altitude").where("t1 is not null")
+    line = Ordered(p, [*by, "track"], ["t1", "seq"])
+    s = line.scan(seg=row_number(), then=row_after(F.struct("t1", "latitude", "longitude", "altitude"))).where("then is not null")
+    return s.select(*by, "track", "seq", "seg", "t1", F.col("then.v.t1").alias("t2"), *[c for x in ("latitude", "longitude", "altitude") for c in (F.col(x), F.col(f"then.v.{x}").alias(f"{x}2"))])
 
 
 def interpolated(files: DataFrame, waypoints: DataFrame, offset_s: float = 0, by: list[str] | None = None, file: str = "file") -> DataFrame:
     """(*by, file, latitude, longitude, altitude, time_delta_s, confidence): for each file the first
     segment (in order of track, then time) that holds its time, and the place on it; altitude only if both ends have one.
-
-    A segment goes to the buckets of its own length class (a power of two), of which it meets two at
-    most, and a file asks one bucket of each class that occurs.
-    """
+    Segments and files are one timeline, on which the open segments are carried along (see first_cover)."""
     by = by or []
-    s = segments(waypoints, by).withColumn("_c", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("t2") - F.col("t1"), F.lit(1)).cast("double"))).cast("int")))
-    side = F.pow(F.lit(2.0), F.col("_c"))
-    s = s.withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("t1") / side).cast("long"), F.floor(F.col("t2") / side).cast("long")))))
-    classes = [r[0] for r in s.select("_c").distinct().orderBy("_c").collect()]  # 64 at most
-    f = files.select(*by, F.col(file).alias("file"), (micros("file_ts") + int(offset_s * 1_000_000)).alias("_t")).where("_t is not null")
-    f = f.withColumn("_c", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>")))
-    f = f.withColumn("_bucket", F.floor(F.col("_t") / side).cast("long"))
-    j = f.join(s, [*by, "_c", "_bucket"]).where("t1 <= _t AND _t <= t2")
+    s = segments(waypoints, by)
+    places = ("latitude", "latitude2", "longitude", "longitude2", "altitude", "altitude2")
+    s = s.select(*by, F.col("t1").alias("low"), F.col("t2").alias("high"), F.struct("track", "seg").alias("rank"), F.struct("track", "seg", "t1", "t2", *places).alias("interval"))
+    f = files.select(*by, (micros("file_ts") + int(offset_s * 1_000_000)).alias("at"), F.col(file).alias("point"))
+    j = first_cover(f, s, by).select(*by, F.col("at").alias("_t"), F.col("point").alias("file"), "interval.*")
     part = F.coalesce(F.try_divide((F.col("_t") - F.col("t1")).cast("double"), (F.col("t2") - F.col("t1")).cast("double")), F.lit(0.0))
     at = lambda c: (F.col(c) + (F.col(f"{c}2") - F.col(c)) * part).alias(c)
     gap = F.least(F.col("_t") - F.col("t1"), F.col("t2") - F.col("_t")) / F.lit(1e6)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.functions.paths import base_name, directory, extension, stem
 
 from .graph import cut
+from .ordered import Ordered, row_before, row_number, whole
 
 # Extensions by role.
 RAW = (".dng", ".cr2", ".cr3", ".crw", ".nef", ".nrw", ".arw", ".srf", ".sr2", ".raf", ".orf", ".rw2", ".rwl", ".pef", ".ptx", ".srw", ".x3f", ".3fr", ".fff", ".iiq", ".mef", ".mos", ".dcr", ".kdc", ".mrw", ".erf", ".gpr", ".rwz")
@@ -53,11 +54,11 @@ def by_name(files: DataFrame) -> list[DataFrame]:
 def sequences(rows: DataFrame, key: list[str], seq: str, member: str, most_gap: int = 2, least: int = 3) -> DataFrame:
     """rows of those keys that have at least `least` rows and no gap of seq above most_gap, with
     first (the member that opens the sequence) and place (from 0); one gap rejects the whole key."""
-    w = Window.partitionBy(*key).orderBy(seq, member)
-    d = rows.withColumn("_gap", F.col(seq) - F.lag(seq).over(w)).withColumn("place", F.row_number().over(w) - 1)
-    every = Window.partitionBy(*key)
-    d = d.withColumn("_n", F.count("*").over(every)).withColumn("_max", F.max("_gap").over(every)).withColumn("first", F.first(member).over(w))
-    return d.where((F.col("_n") >= least) & (F.col("_max") <= most_gap)).drop("_gap", "_n", "_max")
+    line = Ordered(rows, key, list(dict.fromkeys([seq, member])))
+    d = line.scan(_before=row_before(F.col(seq)), place=row_number(), first=whole(F.min, F.struct(seq, F.col(member).alias("_first"))), _n=whole(F.count, F.lit(1), F.sum))
+    d = line.scan(d.withColumn("_gap", F.col(seq) - F.col("_before.v")), _most=whole(F.max, F.col("_gap")))
+    d = d.where((F.col("_n") >= least) & (F.col("_most") <= most_gap)).withColumn("place", F.col("place") - 1).withColumn("first", F.col("first._first"))
+    return d.drop("_before", "_n", "_gap", "_most", "_chunk")
 
 
 def bursts(files: DataFrame) -> DataFrame:
