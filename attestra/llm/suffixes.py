@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut, doc_columns, real_id, slices
 from .substrings import least, mixed, ranges, rolled
 
-WINDOW, K = 50, 16
+WINDOW, K = 50, 24
 #: Bytes of text of a block; pieces of a bucket of the first exchange; bytes of text of a bucket of the second (about).
 BLOCK, KEYS, TEXT = 4 << 20, 1_000_000, 5_000_000
 #: Windows that are looked at together, so that they stay in cache.
@@ -205,17 +205,21 @@ class Hashes:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[raw] * falling[:n])])
 
     def agree(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-        """How many bytes, up to most, the suffixes at i and at j have in common: binary search over lengths."""
-        far = np.zeros(len(i), np.int64)
+        """How many bytes, up to most, the suffixes at i and at j have in common: all of them if one probe says so, else
+        by binary search over lengths."""
+        at_i, at_j, by_i, by_j = self.sums[i], self.sums[j], self.power[i], self.power[j]
+        out = np.full(len(i), most, np.int64)
+        k = np.flatnonzero((self.sums[i + most] - at_i) * by_i != (self.sums[j + most] - at_j) * by_j)
+        i, j, at_i, at_j, by_i, by_j = (x[k] for x in (i, j, at_i, at_j, by_i, by_j))
+        far = np.zeros(len(k), np.int64)
         step = 1 << (most.bit_length() - 1)
         while step:
-            a, b = i + far, j + far
-            fits = far + step <= most
-            x, y = np.where(fits, a + step, a), np.where(fits, b + step, b)
-            same = (self.sums[x] - self.sums[a]) * self.power[a] == (self.sums[y] - self.sums[b]) * self.power[b]
-            far += step * (same & fits)
+            longer = np.minimum(far + step, most - 1)  # fewer than most agree
+            same = (self.sums[i + longer] - at_i) * by_i == (self.sums[j + longer] - at_j) * by_j
+            far = np.where(same, longer, far)
             step >>= 1
-        return far
+        out[k] = far
+        return out
 
     def before(self, i: np.ndarray, j: np.ndarray, most: int, ties: np.ndarray) -> np.ndarray:
         """Whether the suffix at i comes before that at j, in their first most bytes; ties, where they agree."""
