@@ -1,4 +1,4 @@
-"""Content hashes, their detection and verification.
+"""Content hashes, their detection and verification. Contents in parts, larger than a cell, are in operators.content.
 
 MD5, SHA-1 and SHA-2 are built into Spark. BLAKE3 and XXH64 with seed 0 are not; they are Arrow
 functions here, BLAKE3 by vectors over the 1 KiB chunks of a whole batch.
@@ -45,11 +45,39 @@ def _compress(cv: np.ndarray, m: np.ndarray, counter: np.ndarray, length: np.nda
     return np.stack([s[i] ^ s[i + 8] for i in range(8)])
 
 
-def blake3_digests(items: list[bytes]) -> list[str]:
-    """The 256-bit BLAKE3 digest of each item, in hex; all chunks of all items go through each step together."""
+def _merged(cv: np.ndarray, count: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The chaining values (8, n) of trees over nodes cv (8, all), count of them in each: neighbours in pairs, an odd one
+    out goes up as it is; the last pair of a tree that is a root is its digest."""
+    owner = np.repeat(np.arange(len(count)), count)
+    left = count.copy()
+    while len(left) and left.max() > 1:
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(left) - left, left)
+        first = np.flatnonzero((place % 2 == 0) & (place + 1 < left[owner]))
+        m = np.concatenate([cv[:, first], cv[:, first + 1]])
+        start = np.repeat(np.array(IV, np.uint32)[:, None], len(first), 1)
+        flags = PARENT + np.where((left[owner[first]] == 2) & root[owner[first]], ROOT, 0)
+        cv[:, first] = _compress(start, m, np.zeros(len(first), np.int64), np.full(len(first), BLOCK), flags)
+        keep = place % 2 == 0
+        cv, owner = cv[:, keep], owner[keep]
+        left = -(-left // 2)
+    return cv
+
+
+def _bytes_of(cv: np.ndarray) -> list[bytes]:
+    out = np.ascontiguousarray(cv.T).astype("<u4").view(np.uint8).reshape(cv.shape[1], 32)
+    return [row.tobytes() for row in out]
+
+
+def blake3_nodes(items: list[bytes], first_chunk: np.ndarray | None = None, root: np.ndarray | None = None) -> list[bytes]:
+    """The 32 bytes of the tree over each item; all chunks of all items go through each step together.
+
+    first_chunk: how many chunks of its content come before an item (0); root: whether an item is a whole content
+    (it is), for which the bytes are the digest, else the chaining value of a part."""
     if not items:
         return []
     sizes = np.array([len(x) for x in items])
+    first_chunk = np.zeros(len(items), np.int64) if first_chunk is None else first_chunk
+    root = np.ones(len(items), bool) if root is None else root
     chunks = np.maximum(1, -(-sizes // CHUNK))
     owner = np.repeat(np.arange(len(items)), chunks)
     index = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -62,25 +90,36 @@ def blake3_digests(items: list[bytes]) -> list[str]:
     words = buf.view("<u4").reshape(len(owner), 16, 16)
     blocks = np.maximum(1, -(-length // BLOCK))
     cv = np.repeat(np.array(IV, np.uint32)[:, None], len(owner), 1)
+    alone = (chunks[owner] == 1) & root[owner]
     for b in range(int(blocks.max())):
         on = np.flatnonzero(blocks > b)
         last = blocks[on] == b + 1
-        flags = (CHUNK_START if b == 0 else 0) + np.where(last, CHUNK_END + np.where(chunks[owner[on]] == 1, ROOT, 0), 0)
-        cv[:, on] = _compress(cv[:, on], words[on, b].T, index[on], np.where(last, length[on] - b * BLOCK, BLOCK), flags)
-    left = chunks.copy()
-    while left.max() > 1:
-        # neighbours in pairs; an odd one out goes up as it is
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(left) - left, left)
-        first = np.flatnonzero((place % 2 == 0) & (place + 1 < left[owner]))
-        m = np.concatenate([cv[:, first], cv[:, first + 1]])
-        start = np.repeat(np.array(IV, np.uint32)[:, None], len(first), 1)
-        flags = PARENT + np.where(left[owner[first]] == 2, ROOT, 0)
-        cv[:, first] = _compress(start, m, np.zeros(len(first), np.int64), np.full(len(first), BLOCK), flags)
-        keep = place % 2 == 0
-        cv, owner = cv[:, keep], owner[keep]
-        left = -(-left // 2)
-    out = np.ascontiguousarray(cv.T).astype("<u4").view(np.uint8).reshape(len(items), 32)
-    return [row.tobytes().hex() for row in out]
+        flags = (CHUNK_START if b == 0 else 0) + np.where(last, CHUNK_END + np.where(alone[on], ROOT, 0), 0)
+        cv[:, on] = _compress(cv[:, on], words[on, b].T, first_chunk[owner[on]] + index[on], np.where(last, length[on] - b * BLOCK, BLOCK), flags)
+    return _bytes_of(_merged(cv, chunks, root))
+
+
+def blake3_joined(nodes: list[list[bytes]], root: np.ndarray) -> list[bytes]:
+    """The 32 bytes of the tree over each list of chaining values, each of a part of equal size but the last."""
+    if not nodes:
+        return []
+    flat = np.frombuffer(b"".join(x for n in nodes for x in n), "<u4").reshape(-1, 8).T.astype(np.uint32)
+    return _bytes_of(_merged(flat.copy(), np.array([len(n) for n in nodes]), root))
+
+
+try:  # the native binding, where it is installed
+    from blake3 import blake3 as _native
+except ImportError:
+    _native = None
+#: Which implementation digests whole contents: the binding or the vectors of this module.
+BLAKE3_BY = "vectors" if _native is None else "binding"
+
+
+def blake3_digests(items: list[bytes]) -> list[str]:
+    """The 256-bit BLAKE3 digest of each item, in hex."""
+    if _native is not None:
+        return [_native(x).hexdigest() for x in items]
+    return [x.hex() for x in blake3_nodes(items)]
 
 
 def _as_bytes(x) -> bytes:
@@ -177,37 +216,21 @@ def sampled_regions(size: int, threshold: int = SAMPLED_FROM, region: int = REGI
     return out
 
 
-def sampled_digest(path: str, threshold: int = SAMPLED_FROM, region: int = REGION) -> tuple[str, bool]:
-    """(digest, sampled) of a file: the regions, then the size in eight big-endian bytes if sampled."""
-    import os
+def sampled_hashes(files: DataFrame, path: str = "path", threshold: int = SAMPLED_FROM, region: int = REGION) -> DataFrame:
+    """(path, hash, sampled, error) for paths that every executor can open, in parts (see operators.content); a file
+    that cannot be read is a row with an error."""
+    from attestra.operators.content import sampled_hashes as in_parts
+
+    def sizes(batches):
+        import os
 
-    size = os.path.getsize(path)
-    parts = []
-    with open(path, "rb") as f:
-        for start, n in sampled_regions(size, threshold, region):
-            f.seek(start)
-            parts.append(f.read(n))
-    sampled = size >= threshold
-    if sampled:
-        parts.append(size.to_bytes(8, "big"))
-    return blake3_digests([b"".join(parts)])[0], sampled
+        import pyarrow as pa
 
+        for b in batches:
+            paths = b.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([os.path.getsize(p) if p is not None and os.path.isfile(p) else None for p in paths], pa.int64())], ["path", "size"])
 
-def sampled_hashes(files: DataFrame, path: str = "path", threshold: int = SAMPLED_FROM, region: int = REGION) -> DataFrame:
-    """(path, hash, sampled, error) for paths that every executor can open; a file that cannot be read is a row with an error."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for p in pdf[path]:
-                try:
-                    digest, sampled = sampled_digest(p, threshold, region)
-                    rows.append((p, digest[:16], sampled, None))
-                except (OSError, TypeError) as e:
-                    rows.append((p, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "hash", "sampled", "error"])
-
-    return files.select(path).mapInPandas(run, "path string, hash string, sampled boolean, error string")
+    return in_parts(files.select(F.col(path).alias("path")).mapInArrow(sizes, "path string, size long"), threshold, region)
 
 
 def sampling_summary(hashed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import filetype, hashing, ids, imagehash, metadata, paths
-from attestra.operators import dedup, gps, graph, manifest, registry, related
+from attestra.operators import content, dedup, gps, graph, manifest, registry, related
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,6 +93,18 @@ def content_digests(spark, sf_dir):
     return h.select("doc_id", "md5", "sha256")
 
 
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, CAST(greatest(1, ceil(strlen(text) / 2048.0)) AS BIGINT) AS parts, md5(text) AS md5, true AS agrees FROM documents")
+def content_in_parts(spark, sf_dir):
+    """Documents cut into parts of 2 KiB: their number, the MD5 of the parts joined again, and whether the tree over them has the digest of the whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = content.parts_of(d, "doc_id", "text", 2048)
+    joined = parts.groupBy("doc_id").agg(F.max("size").alias("size"), F.count("*").alias("parts"), F.array_sort(F.collect_list(F.struct("part", F.hex("bytes").alias("x")))).alias("xs"))
+    whole = d.select("doc_id", hashing.blake3_full(F.col("text")).alias("whole"))
+    j = joined.join(content.tree_digests(parts, "doc_id", 2048), "doc_id").join(whole, "doc_id")
+    md5 = F.md5(F.unhex(F.array_join(F.transform("xs", lambda x: x["x"]), "")))
+    return j.select("doc_id", "size", "parts", md5.alias("md5"), (F.col("blake3") == F.col("whole")).alias("agrees"))
+
+
 HASHES = "SELECT doc_id, md5(text) AS h FROM documents UNION ALL SELECT doc_id, sha256(text) FROM documents UNION ALL SELECT doc_id, upper(sha1(text)) FROM documents UNION ALL SELECT doc_id, substr(sha256(text), 1, 16) FROM documents"
 
 

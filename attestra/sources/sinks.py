@@ -262,21 +262,39 @@ def backoff_ms(attempt: int) -> int:
     return min(BACKOFF_MS * 2 ** (attempt - 1), LONGEST_MS)
 
 
-def copy_file(source: str, destination: str, algorithm: str = "blake3", verify: bool = True, overwrite: bool = False, keep_times: bool = True, retries: int = 3) -> tuple:
-    """(bytes, digest, verified) of a copy; the digest is of what was read, and verified by reading what was written."""
-    import errno
+#: Bytes of a file that a copy holds at once.
+PIECE = 4 << 20
+
+
+def running_digest(algorithm: str):
+    """An object with update() and hexdigest() for an algorithm by name."""
     import hashlib
 
-    from attestra.functions.hashing import blake3_digests
+    from attestra.operators.content import Running
+
+    if algorithm.startswith("blake3"):
+        return Running()
+    if algorithm == "xxhash64":
+        import xxhash
 
-    def digest(data: bytes) -> str:
-        if algorithm.startswith("blake3"):
-            return blake3_digests([data])[0][: 64 if algorithm == "blake3-full" else 16]
-        if algorithm == "xxhash64":
-            import xxhash
+        return xxhash.xxh64()
+    return hashlib.new(algorithm)
+
+
+def copy_file(source: str, destination: str, algorithm: str = "blake3", verify: bool = True, overwrite: bool = False, keep_times: bool = True, retries: int = 3) -> tuple:
+    """(bytes, digest, verified) of a copy; the digest is of what was read, and verified by reading what was written. A
+    file passes in pieces, so that its size does not matter."""
+    import errno
 
-            return xxhash.xxh64_hexdigest(data)
-        return hashlib.new(algorithm, data).hexdigest()
+    def passed(path: str, out=None) -> tuple[int, str]:
+        h, n = running_digest(algorithm), 0
+        with open(path, "rb") as f:
+            while piece := f.read(PIECE):
+                h.update(piece)
+                n += len(piece)
+                if out is not None:
+                    out.write(piece)
+        return n, h.hexdigest()[: 16 if algorithm == "blake3" else None]
 
     for attempt in range(1, retries + 1):
         part = f"{destination}.{os.getpid()}.part"
@@ -284,16 +302,14 @@ def copy_file(source: str, destination: str, algorithm: str = "blake3", verify:
             if os.path.exists(destination) and not overwrite:
                 raise FileExistsError(errno.EEXIST, "destination exists", destination)
             os.makedirs(os.path.dirname(destination) or ".", exist_ok=True)
-            data = _read(source)
             with open(part, "wb") as f:
-                f.write(data)
-            h = digest(data)
-            if verify and digest(_read(part)) != h:
+                n, h = passed(source, f)
+            if verify and passed(part)[1] != h:
                 raise OSError(errno.EIO, "copy differs from source", destination)
             if keep_times:
                 shutil.copystat(source, part)
             os.replace(part, destination)
-            return len(data), h, verify
+            return n, h, verify
         except OSError as e:
             if os.path.exists(part):
                 os.unlink(part)
