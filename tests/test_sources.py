@@ -259,3 +259,53 @@ def test_metadata_json_gives_binary_values_by_size(spark):
 
     d = spark.range(1).select(sinks.metadata_json(F.create_map(F.lit("a"), F.lit("x")), F.create_map(F.lit("b"), F.encode(F.lit("12345"), "utf-8"))).alias("j"))
     assert d.first().j == '{"a":"x","b":"(Binary data 5 bytes)"}'
+
+
+# --- scans of deep trees ---------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def deep(tmp_path):
+    """One folder holds everything, some levels down."""
+    for k in range(12):
+        at = tmp_path / "only" / "one" / f"d{k % 4}" / f"e{k}"
+        at.mkdir(parents=True)
+        for n in range(5):
+            (at / f"f{n}.{'txt' if n % 2 else 'jpg'}").write_bytes(b"x" * (n * 10))
+    (tmp_path / "top.txt").write_bytes(b"abc")
+    (tmp_path / ".hidden").write_bytes(b"abc")
+    (tmp_path / "only" / "loop").symlink_to(tmp_path / "only")
+    return tmp_path
+
+
+def test_a_deep_folder_is_split(spark, deep):
+    from attestra.sources import fsscan
+
+    files = fsscan.scan(spark, str(deep))
+    assert files.rdd.getNumPartitions() >= 12
+    assert files.count() == 61 and files.select("path").distinct().count() == 61
+    assert fsscan.scan(spark, str(deep), tasks=1).rdd.getNumPartitions() == 1
+    assert fsscan.scan(spark, str(deep), tasks=1).count() == 61
+    assert fsscan.scan(spark, str(deep), followSymlinks=True).count() == 61  # a link to a folder above is not walked
+    assert fsscan.scan(spark, str(deep / "nothing")).first()["error"] == "cannot be read"
+
+
+def test_filters_are_pushed_into_the_scan(spark, deep):
+    from attestra.sources import fsscan
+
+    files = fsscan.scan(spark, str(deep), content=True).where("size >= 20 and size < 40 and ext = '.txt' and path is not null")
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "size >= 20" not in plan.split("BatchScan")[0] and "ext = .txt" not in plan.split("BatchScan")[0]
+    rows = files.collect()
+    assert len(rows) == 12 and {(r["size"], bytes(r["content"])) for r in rows} == {(30, b"x" * 30)}
+    assert fsscan.scan(spark, str(deep)).where("ext in ('.jpg', '.gif') or size = 3").count() == 37
+
+
+def test_levels_find_what_a_walk_finds(spark, deep):
+    from attestra.sources import fsscan
+
+    for options in ({}, {"includeHidden": True}, {"recursive": False}, {"exclude": ["e3", "*.jpg"]}, {"minSize": 20}, {"followSymlinks": True}):
+        walked = fsscan.scan(spark, str(deep), **options).drop("content")
+        levels = fsscan.scan_levels(spark, str(deep), **options)
+        assert sorted(map(tuple, walked.collect())) == sorted(map(tuple, levels.collect()))
+    assert fsscan.scan_levels(spark, str(deep / "nothing")).first()["error"] == "cannot be read"
