@@ -6,14 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def duplicate_groups(files: DataFrame, key: str = "path", hash_col: str = "hash", size: str = "size", min_size: int = 1) -> DataFrame:
-    """(hash, size, n, files, wasted) of each content that occurs more than once; members in order
-    of key, the size that of the first of them. Rows below min_size or without a hash take no part."""
-    rows = files.where(F.col(hash_col).isNotNull() & (F.col(size) >= min_size))
-    groups = rows.groupBy(F.col(hash_col).alias("hash")).agg(
-        F.min_by(F.col(size), F.col(key)).cast("long").alias("size"), F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("files")
-    )
-    return groups.where("n > 1").withColumn("wasted", (F.col("n") - 1) * F.col("size"))
+#: Members of a group that are listed in one row.
+MOST_LISTED = 100_000
+
+
+def classes(rows: DataFrame, by: str, key: str, *more) -> DataFrame:
+    """(by, representative, n, *more): a row for each value of by that is not null, whatever the number of its rows;
+    representative is the smallest key; more: further aggregates."""
+    return rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(key).alias("representative"), F.count("*").alias("n"), *more)
+
+
+def listed(rows: DataFrame, found: DataFrame, by: str, key: str, out: str, most: int = MOST_LISTED) -> DataFrame:
+    """Classes found (by, n, ...) with out: the sorted keys of their rows, null for a class of more than most; members() has these."""
+    small = rows.join(found.where(F.col("n") <= most).select(by), by, "left_semi")
+    return found.join(small.groupBy(by).agg(F.sort_array(F.collect_list(key)).alias(out)), by, "left")
+
+
+def duplicate_classes(files: DataFrame, key: str = "path", hash_col: str = "hash", size: str = "size", min_size: int = 1) -> DataFrame:
+    """(hash, representative, n, size, wasted) of each content that occurs more than once: a row of fixed width for any
+    number of copies. Rows below min_size or without a hash take no part; the size is that of the representative, the first by key."""
+    rows = files.where(F.col(size) >= min_size).select(F.col(hash_col).alias("hash"), key, F.col(size).alias("_size"))
+    found = classes(rows, "hash", key, F.min_by("_size", key).cast("long").alias("size")).where("n > 1")
+    return found.withColumn("wasted", (F.col("n") - 1) * F.col("size"))
+
+
+def members(files: DataFrame, found: DataFrame, key: str = "path", hash_col: str = "hash", size: str = "size", min_size: int = 1) -> DataFrame:
+    """(key, hash, representative) of every row of the classes found: a row a copy. The classes side of the join has
+    one row a hash, so that a content with most rows is split like any skewed side, or meets them by broadcast."""
+    rows = files.where(F.col(size) >= min_size).select(key, F.col(hash_col).alias("hash"))
+    return rows.join(found.select("hash", "representative"), "hash").select(key, "hash", "representative")
+
+
+def duplicate_groups(files: DataFrame, key: str = "path", hash_col: str = "hash", size: str = "size", min_size: int = 1, most: int = MOST_LISTED) -> DataFrame:
+    """duplicate_classes() as (hash, size, n, files, wasted) with the members in order of key; files is null for a
+    content of more than most copies, of which members() gives the rows."""
+    found = duplicate_classes(files, key, hash_col, size, min_size)
+    rows = files.where(F.col(size) >= min_size).select(F.col(hash_col).alias("hash"), key)
+    return listed(rows, found, "hash", key, "files", most).select("hash", "size", "n", "files", "wasted")
 
 
 def duplicate_rollup(files: DataFrame, key: str = "path", hash_col: str = "hash", size: str = "size", min_size: int = 1) -> DataFrame:

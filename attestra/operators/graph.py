@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dedup
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, as in tests, a new temporary one, but only if
@@ -89,8 +91,8 @@ def band_plan(threshold: int, n: int, most: int = 20_000) -> tuple[list[int], in
     return best[1], best[2]
 
 
-def hamming_pairs(rows: DataFrame, key: str, bits: str, threshold: int = 10) -> DataFrame:
-    """(a, b, distance): pairs of different keys, a < b, whose 64-bit hashes differ in at most threshold bits.
+def near_hashes(rows: DataFrame, bits: str, threshold: int) -> DataFrame:
+    """(x, y, distance): pairs of different 64-bit hashes of rows, x < y, that differ in at most threshold bits.
 
     The word is cut into bands, in one of which two such hashes differ by a few bits at most. One side emits its
     bands with all such flips, the other its bands as they are, and they meet on equal ones. The join runs over distinct hashes,
@@ -110,7 +112,54 @@ def hamming_pairs(rows: DataFrame, key: str, bits: str, threshold: int = 10) ->
     near = asks.join(banded.select(F.col("x").alias("y"), "band", "value"), ["band", "value"]).where("x < y")
     both = F.col("x").bitwiseXOR(F.col("y"))
     first = F.coalesce(*[F.when(F.bit_count(part(both, i)) <= flips, i) for i in range(len(widths))])
-    near = near.where(F.bit_count(both) <= threshold).where(F.col("band") == first).select("x", "y", F.bit_count(both).alias("distance"))
+    return near.where(F.bit_count(both) <= threshold).where(F.col("band") == first).select("x", "y", F.bit_count(both).alias("distance"))
+
+
+class Similar:
+    """Rows by near hashes, without a pair of copies: a class row for each hash, and links between classes.
+
+    classes (h, representative, n): the smallest key and the number of rows of a hash. links (x, y, distance) of near_hashes().
+    A hash that most rows share is one class row, whatever their number."""
+
+    def __init__(self, rows: DataFrame, key: str, bits: str, threshold: int = 10):
+        self.key, self.threshold = key, threshold
+        self.rows = rows.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).cast("long").alias("h"))
+        self.classes = cut(dedup.classes(self.rows, "h", "k"))
+        self.links = cut(near_hashes(self.classes, "h", threshold))
+
+    def summary(self) -> DataFrame:
+        """(representative, hash, n, links, copies): each class with the number of classes near it and of rows in these."""
+        both = self.links.select("x", "y").union(self.links.select("y", "x"))
+        met = both.join(self.classes.select(F.col("h").alias("y"), F.col("n").alias("m")), "y").groupBy(F.col("x").alias("h")).agg(F.count("*").alias("links"), F.sum("m").alias("copies"))
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        return self.classes.join(met, "h", "left").select("representative", F.col("h").alias("hash"), "n", zero("links"), zero("copies"))
+
+    def groups(self) -> DataFrame:
+        """(group_id, representative, member, distance, size) as similarity_groups() gives of all pairs: rows in no pair are left out."""
+        name = lambda c, a: self.classes.select(F.col("h").alias(c), F.col("representative").alias(a))
+        edges = self.links.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b", "distance")
+        lone = self.classes.select(F.col("representative").alias("node"), "n")
+        c = lone.join(components(edges.select("a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        size = c.groupBy("root").agg(F.sum("n").alias("size")).where("size > 1")
+        direct = edges.select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node"), F.col("distance").alias("d"))
+        d = F.when(F.col("node") == F.col("root"), 0).otherwise(F.coalesce("d", F.lit(self.threshold))).cast("int")
+        known = cut(c.join(size, "root").join(direct, ["root", "node"], "left").select("root", F.col("node").alias("representative"), d.alias("distance"), "size"))
+        m = self.rows.join(self.classes.select("h", "representative"), "h").join(known, "representative")
+        return m.select(F.col("root").alias("group_id"), F.col("root").alias("representative"), F.col("k").alias("member"), "distance", "size")
+
+    def counts(self) -> DataFrame:
+        """One row: processed, pairs, unique (rows that no pair holds), by arithmetic over class rows."""
+        s = self.summary()
+        n = F.col("n").cast("decimal(38,0)")
+        pairs = F.sum(n * (n - 1) / 2 + n * F.col("copies") / 2)  # a link counts at either end
+        total = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        return s.agg(total(F.sum("n")).alias("processed"), total(pairs).alias("pairs"), total(F.sum(F.when((F.col("n") == 1) & (F.col("links") == 0), 1))).alias("unique"))
+
+
+def hamming_pairs(rows: DataFrame, key: str, bits: str, threshold: int = 10) -> DataFrame:
+    """(a, b, distance): pairs of different keys, a < b, whose 64-bit hashes differ in at most threshold bits. All pairs
+    of rows, equal hashes too: as many as the square of the copies of a hash. Similar has classes and links instead."""
+    near = near_hashes(rows, bits, threshold)
     k = rows.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("h"))
     across = near.join(k.select(F.col("k").alias("k1"), F.col("h").alias("x")), "x").join(k.select(F.col("k").alias("k2"), F.col("h").alias("y")), "y")
     across = across.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "distance")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from attestra.functions.hashing import matches_prefix
 
+from . import dedup
+
 
 def entries(manifest: DataFrame, path: str = "path", hash_col: str = "hash") -> DataFrame:
     """(path, hash), one row a path."""
@@ -61,10 +63,17 @@ def audit(manifest: DataFrame, files: DataFrame, strict: bool = True) -> DataFra
     return out
 
 
-def audit_duplicates(audited: DataFrame) -> DataFrame:
-    """(hash, n, files) of actual contents that several readable entries share, mismatched ones included."""
+def audit_classes(audited: DataFrame) -> DataFrame:
+    """(hash, representative, n) of actual contents that several readable entries share, mismatched ones included: a row
+    of fixed width for any number of entries."""
     rows = audited.where(F.col("status").isin("matched", "mismatched"))
-    return rows.groupBy(F.col("actual").alias("hash")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("files")).where("n > 1")
+    return dedup.classes(rows.select(F.col("actual").alias("hash"), "path"), "hash", "path").where("n > 1")
+
+
+def audit_duplicates(audited: DataFrame, most: int = dedup.MOST_LISTED) -> DataFrame:
+    """audit_classes() as (hash, n, files) with their entries in order; files is null beyond most entries."""
+    rows = audited.where(F.col("status").isin("matched", "mismatched")).select(F.col("actual").alias("hash"), "path")
+    return dedup.listed(rows, audit_classes(audited), "hash", "path", "files", most).select("hash", "n", "files")
 
 
 def audit_rollup(audited: DataFrame) -> DataFrame:

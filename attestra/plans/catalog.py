@@ -44,6 +44,19 @@ def dedup_groups(spark, sf_dir):
     return g.select("hash", "size", "n", "wasted", F.array_join(F.col("files").cast("array<string>"), ",").alias("files"))
 
 
+@query("""SELECT sha256(text) AS hash, min(doc_id) AS representative, count(*) AS n, CAST(min(strlen(text)) AS BIGINT) AS size, CAST((count(*) - 1) * min(strlen(text)) AS BIGINT) AS wasted
+          FROM documents WHERE strlen(text) >= 1 GROUP BY 1 HAVING count(*) > 1""")
+def duplicate_classes(spark, sf_dir):
+    return dedup.duplicate_classes(document_files(spark, sf_dir))
+
+
+@query("""SELECT path, hash, representative FROM (SELECT doc_id AS path, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS representative, count(*) OVER (PARTITION BY sha256(text)) AS n
+          FROM documents WHERE strlen(text) >= 1) WHERE n > 1""")
+def duplicate_members(spark, sf_dir):
+    f = document_files(spark, sf_dir)
+    return dedup.members(f, dedup.duplicate_classes(f))
+
+
 @query("""WITH g AS (SELECT sha256(text) AS h, count(*) AS n, min(strlen(text)) AS s FROM documents WHERE strlen(text) >= 1 GROUP BY 1)
           SELECT CAST(sum(n) AS BIGINT) AS total_files, count(*) AS unique_files, count(*) FILTER (n > 1) AS duplicate_groups,
                  CAST(sum(n - 1) AS BIGINT) AS duplicate_count, CAST(sum((n - 1) * s) AS BIGINT) AS wasted_bytes FROM g""")
@@ -285,14 +298,20 @@ def hamming_pairs(spark, sf_dir):
                 r AS (SELECT a AS n, a AS m FROM p UNION SELECT r.n, p.b FROM r JOIN p ON r.m = p.a), c AS (SELECT n, min(m) AS root FROM r GROUP BY 1), s AS (SELECT root, count(*) AS size FROM c GROUP BY 1)
            SELECT c.root AS group_id, c.root AS representative, c.n AS member, CASE WHEN c.n = c.root THEN 0 ELSE coalesce(p.d, 20) END AS distance, s.size FROM c JOIN s USING (root) LEFT JOIN p ON p.a = c.root AND p.b = c.n""")
 def similarity_groups(spark, sf_dir):
-    return graph.similarity_groups(graph.cut(graph.hamming_pairs(sign_hashes(spark, sf_dir), "vec_id", "h", 20)), 20)
+    return graph.Similar(sign_hashes(spark, sf_dir), "vec_id", "h", 20).groups()
 
 
 @query(f"""WITH {SIGNS}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 16)
            SELECT (SELECT count(*) FROM h) AS processed, (SELECT count(*) FROM p) AS pairs, (SELECT count(*) FROM h) - (SELECT count(DISTINCT x) FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p)) AS unique""")
 def similarity_counts(spark, sf_dir):
-    h = sign_hashes(spark, sf_dir)
-    return graph.similarity_counts(h, graph.cut(graph.hamming_pairs(h, "vec_id", "h", 16)), "vec_id")
+    return graph.Similar(sign_hashes(spark, sf_dir), "vec_id", "h", 16).counts()
+
+
+@query(f"""WITH {SIGNS}, c AS (SELECT h, min(vec_id) AS representative, count(*) AS n FROM h GROUP BY h)
+           SELECT a.representative, a.n, CAST(count(b.h) AS BIGINT) AS links, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS copies
+           FROM c a LEFT JOIN c b ON a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 16 GROUP BY a.h, a.representative, a.n""")
+def similar_classes(spark, sf_dir):
+    return graph.Similar(sign_hashes(spark, sf_dir), "vec_id", "h", 16).summary().drop("hash")
 
 
 @query("""WITH m AS (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS m FROM embeddings)
