@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.paths import base_name
 
+from . import patterns
 from .ordered import exponential_mean
 
 # --- lookups by priority -------------------------------------------------------------------------
@@ -25,8 +26,7 @@ def first_match(rows: DataFrame, rules: DataFrame, key: str, on: Column, result:
 
 def longest_prefix(paths: DataFrame, mounts: DataFrame, path: str = "path", mount: str = "mount", kind: str = "fs_type") -> DataFrame:
     """(path, mount, kind): the longest mount that a path starts with, character by character."""
-    j = paths.select(path).distinct().join(F.broadcast(mounts), F.startswith(path, mount), "left")  # a host's mounts
-    return j.groupBy(path).agg(F.max_by(mount, F.length(mount)).alias(mount), F.max_by(kind, F.length(mount)).alias(kind))
+    return patterns.longest_prefix(paths, mounts, path, mount, kind)
 
 
 def is_smb(fs_type: Column) -> Column:
@@ -50,12 +50,6 @@ def vendor_kind(category: Column) -> Column:
 # --- cameras -------------------------------------------------------------------------------------
 
 
-def glob_regex(c: Column) -> Column:
-    """A shell pattern as a regular expression over a whole name, whatever the case."""
-    quoted = F.regexp_replace(c, r"([.\\+^$(){}|\[\]])", r"\\$1")
-    return F.concat(F.lit("(?i)^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))
-
-
 def era(width: Column, height: Column) -> Column:
     most, ratio = F.greatest(width, height), F.try_divide(width.cast("double"), height.cast("double"))
     return F.when((most < 480) & (F.abs(ratio - F.lit(4 / 3)) < 0.1), "super8").when(most < 720, "dadcam").otherwise("modern")
@@ -67,22 +61,24 @@ def camera_match(files: DataFrame, cameras: DataFrame, path: str = "path") -> Da
     By EXIF make and model (0.95): the exact pair, of equal cameras the last; else a model variant,
     of a make that the file's make holds if there is one; else a make with a model that holds a variant. Then by the name's
     pattern (0.8), the folder's (0.7), and the era of the frame size (0.3, 'unknown:' and the era). cameras
-    (ord, id, make, model, variants, filename_patterns, folder_patterns) is a small table in its order.
+    (ord, id, make, model, variants, filename_patterns, folder_patterns) is a table in its order, of any size: names, folders and
+    models meet its patterns by pieces of three letters (see patterns).
     """
-    small = F.broadcast
     make, model = F.lower(F.trim("make")), F.lower(F.trim("model"))
     cam = cameras.select("ord", "id", F.lower("make").alias("cmake"), F.lower("model").alias("cmodel"), F.transform(F.coalesce("variants", F.array().cast("array<string>")), F.lower).alias("cvariants"), "filename_patterns", "folder_patterns")
     f = files.withColumn("_make", make).withColumn("_model", model)
     exact = cam.groupBy("cmake", "cmodel").agg(F.max_by("id", "ord").alias("exact_id"))
     variant = cam.select("ord", "id", "cmake", F.explode(F.array_union(F.array("cmodel"), F.col("cvariants"))).alias("v"))
     known = f.select("_make", "_model").distinct().where("_model is not null")
-    v = known.join(small(variant), (F.col("_model") == F.col("v")) | (F.contains("_make", F.col("cmake")) & F.contains("_model", F.col("v"))))
+    v = patterns.containing(known, variant, "_model", "v").join(known, "_model")
+    v = v.where((F.col("_model") == F.col("v")) | F.contains("_make", F.col("cmake")))
     rank = F.struct(F.when(F.col("_model") == F.col("v"), F.when(F.coalesce(F.contains("_make", F.col("cmake")), F.lit(False)), 0).otherwise(1)).otherwise(2), F.col("ord"))
     v = v.groupBy("_make", "_model").agg(F.min_by("id", rank).alias("variant_id"))
     pattern = lambda c: cam.select("ord", "id", F.explode(c).alias("p"))
-    names = f.select(path).distinct()
-    by_name = names.join(small(pattern("filename_patterns").withColumn("r", glob_regex(F.col("p")))), F.expr(f"regexp_like(regexp_extract({path}, '([^/]*)$', 1), r)")).groupBy(path).agg(F.min_by("id", "ord").alias("name_id"))
-    by_folder = names.join(small(pattern("folder_patterns").withColumn("r", F.lower(F.regexp_replace("p", r"\*", "")))), F.contains(F.lower(path), F.col("r"))).groupBy(path).agg(F.min_by("id", "ord").alias("folder_id"))
+    names = f.select(path).distinct().withColumn("_name", base_name(F.col(path)))
+    by_name = patterns.matching(names, pattern("filename_patterns"), "_name", "p").groupBy("_name").agg(F.min_by("id", "ord").alias("name_id"))
+    by_name = names.join(by_name, "_name").select(path, "name_id")
+    by_folder = patterns.containing(names, pattern("folder_patterns").withColumn("r", F.regexp_replace("p", r"\*", "")), path, "r").groupBy(path).agg(F.min_by("id", "ord").alias("folder_id"))
     j = f.join(exact, (F.col("_make") == F.col("cmake")) & (F.col("_model") == F.col("cmodel")), "left")
     j = j.join(v, ["_make", "_model"], "left").join(by_name, path, "left").join(by_folder, path, "left")
     guess = F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.concat(F.lit("unknown:"), era(F.col("width"), F.col("height"))))
@@ -192,7 +188,7 @@ def category_of(files: DataFrame, builtin: DataFrame, learned: DataFrame, ext: s
     """files with category: the learned one, else that of the built-in table (ext, category, priority) of least priority, else 'other'."""
     b = builtin.groupBy("ext").agg(F.min_by("category", "priority").alias("_b"))
     l = learned.select(F.col("extension").alias("ext"), F.col("category").alias("_l"))
-    j = files.withColumn("_e", F.lower(ext)).join(F.broadcast(b.withColumnRenamed("ext", "_e")), "_e", "left").join(l.withColumnRenamed("ext", "_e"), "_e", "left")  # the built-in table is fixed
+    j = files.withColumn("_e", F.lower(ext)).join(b.withColumnRenamed("ext", "_e"), "_e", "left").join(l.withColumnRenamed("ext", "_e"), "_e", "left")
     return j.withColumn("category", F.coalesce("_l", "_b", F.lit("other"))).drop("_e", "_b", "_l")
 
 

@@ -384,6 +384,51 @@ def longest_prefix(spark, sf_dir):
     return registry.longest_prefix(table(spark, sf_dir, "pages"), mounts, "url")
 
 
+PATHS = r"""f AS (SELECT p_partkey, '/' || lower(p_type) || '/' || replace(p_brand, '#', '_') || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.jpg' AS path,
+                    CASE WHEN p_partkey % 3 = 0 THEN lower(split_part(p_name, ' ', 1)) END AS make, CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END) END AS model,
+                    CASE WHEN p_partkey % 2 = 0 THEN p_size * 30 END AS width, CASE WHEN p_partkey % 2 = 0 THEN p_size * 20 END AS height FROM part)"""
+
+
+def part_files(spark, sf_dir) -> DataFrame:
+    """Parts seen as picture files: path of type, brand, name and key; some with the maker (first word of the name) and model (brand), some with a frame size."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    path = F.concat(F.lit("/"), F.lower("p_type"), F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), k, F.lit(".jpg"))
+    model = F.concat("p_brand", F.when(k % 2 == 0, "x").otherwise(""))
+    return p.select(k, path.alias("path"), F.when(k % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).alias("make"), F.when(k % 3 == 0, model).alias("model"), F.when(k % 2 == 0, F.col("p_size") * 30).alias("width"), F.when(k % 2 == 0, F.col("p_size") * 20).alias("height"))
+
+
+@query(rf"""WITH {PATHS}, m AS (SELECT p_type AS t, p_brand AS b, min(p_partkey) AS k FROM part GROUP BY 1, 2),
+                 mounts AS (SELECT '/' || lower(t) AS mount, min(k) AS kind FROM m GROUP BY 1 UNION ALL SELECT '/' || lower(t) || '/' || replace(b, '#', '_'), k FROM m WHERE k % 4 <> 0)
+            SELECT f.path, arg_max(mount, length(mount)) AS mount, arg_max(kind, length(mount)) AS kind FROM f LEFT JOIN mounts ON starts_with(path, mount) GROUP BY 1""")
+def part_mounts(spark, sf_dir):
+    """Longest prefix among the folders of types, and of most pairs of type and brand."""
+    m = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("k"))
+    top, below = F.concat(F.lit("/"), F.lower("p_type")), F.replace("p_brand", F.lit("#"), F.lit("_"))
+    mounts = m.groupBy(top.alias("mount")).agg(F.min("k").alias("kind")).union(m.where("k % 4 <> 0").select(F.concat(top, F.lit("/"), below), "k"))
+    return registry.longest_prefix(part_files(spark, sf_dir), mounts, "path", "mount", "kind")
+
+
+@query(rf"""WITH {PATHS}, c AS (SELECT min(p_partkey) AS ord, p_brand AS id, lower(arg_min(split_part(p_name, ' ', 1), p_partkey)) AS make, lower(p_brand) AS model, lower(substr(p_brand, 1, 7)) AS variant,
+                               arg_min(split_part(p_name, ' ', 2), p_partkey) AS word, '/' || lower(arg_min(p_type, p_partkey)) || '/' || replace(p_brand, '#', '_') || '/' AS folder FROM part GROUP BY p_brand),
+                 x AS (SELECT p_partkey, arg_max(id, ord) AS id FROM f JOIN c USING (make, model) GROUP BY 1),
+                 v AS (SELECT p_partkey, arg_min(id, (CASE WHEN f.model = v THEN CASE WHEN contains(f.make, c.make) THEN 0 ELSE 1 END ELSE 2 END)::BIGINT * 1000000000 + ord) AS id
+                       FROM f JOIN (SELECT ord, id, make, model AS v FROM c UNION SELECT ord, id, make, variant FROM c) c ON f.model = v OR (contains(f.make, c.make) AND contains(f.model, v)) GROUP BY 1),
+                 n AS (SELECT p_partkey, arg_min(id, ord) AS id FROM f JOIN c ON regexp_full_match(lower(split_part(path, '/', 4)), '.*_' || word || '_.?' || (ord % 10) || '[.]jpg') GROUP BY 1),
+                 d AS (SELECT p_partkey, arg_min(id, ord) AS id FROM f JOIN c ON contains(lower(path), lower(folder)) GROUP BY 1)
+            SELECT p_partkey, coalesce(x.id, v.id, n.id, d.id, 'unknown:' || CASE WHEN width IS NULL THEN NULL WHEN greatest(width, height) < 480 AND abs(width::DOUBLE / height - 4 / 3.0) < 0.1 THEN 'super8' WHEN greatest(width, height) < 720 THEN 'dadcam' ELSE 'modern' END) AS camera_id,
+                   CASE WHEN coalesce(x.id, v.id) IS NOT NULL THEN 0.95 WHEN n.id IS NOT NULL THEN 0.8 WHEN d.id IS NOT NULL THEN 0.7 WHEN width IS NOT NULL THEN 0.3 END::DOUBLE AS confidence,
+                   CASE WHEN coalesce(x.id, v.id) IS NOT NULL THEN 'exif' WHEN n.id IS NOT NULL THEN 'filename' WHEN d.id IS NOT NULL THEN 'folder' WHEN width IS NOT NULL THEN 'heuristic' END AS matched_by
+            FROM f LEFT JOIN x USING (p_partkey) LEFT JOIN v USING (p_partkey) LEFT JOIN n USING (p_partkey) LEFT JOIN d USING (p_partkey)""")
+def camera_match(spark, sf_dir):
+    """A camera for each brand, with the maker, name pattern and folder of its first part."""
+    word = lambda k: F.min_by(F.split_part("p_name", F.lit(" "), F.lit(k)), "p_partkey")
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("ord"), word(1).alias("make"), word(2).alias("word"), F.min_by("p_type", "p_partkey").alias("type"))
+    names = F.array(F.concat(F.lit("*_"), "word", F.lit("_?"), F.col("ord") % 10, F.lit(".jpg")), F.concat(F.lit("*_"), "word", F.lit("_"), F.col("ord") % 10, F.lit(".jpg")))
+    folders = F.array(F.concat(F.lit("*/"), F.lower("type"), F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("/*")))
+    cameras = p.select("ord", F.col("p_brand").alias("id"), "make", F.col("p_brand").alias("model"), F.array(F.substring("p_brand", 1, 7)).alias("variants"), names.alias("filename_patterns"), folders.alias("folder_patterns"))
+    return registry.camera_match(part_files(spark, sf_dir), cameras).select("p_partkey", "camera_id", "confidence", "matched_by")
+
+
 @query("""WITH s AS (SELECT event_type AS extension, CAST(user_id AS VARCHAR) AS path, min(ts) AS t0 FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY extension ORDER BY t0, path) AS k FROM s)
           SELECT e.extension, e.n, (SELECT array_to_string(list(path ORDER BY k.k), ',') FROM k WHERE k.k <= 5 AND k.extension = e.extension) AS samples FROM (SELECT event_type AS extension, count(*) AS n FROM events GROUP BY 1) e""")
 def unknown_extensions(spark, sf_dir):
