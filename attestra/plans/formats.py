@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions import filetype, metadata, paths
-from attestra.operators import dedup, gps, graph, manifest, registry, related
+from attestra.functions import filetype, metadata, paths, sql
+from attestra.operators import dedup, gps, graph, manifest, registry, related, validate
 from attestra.sources import documents, sinks
 from attestra.streaming import streams
 
@@ -401,3 +401,55 @@ def groups_by_waste(spark, sf_dir):
 def registry_totals(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("device"), F.col("source").alias("maker"), F.col("n_chars").alias("files"))
     return registry.totals(d, "device", "maker", "files").select(F.col("device").alias("devices"), F.col("maker").alias("makers"), F.col("files").alias("seen"))
+
+
+# --- functions by name, schemas ------------------------------------------------------------------------
+
+
+GPX_FORMS = f"""CASE i % 6 WHEN 0 THEN {GPX} WHEN 1 THEN '' WHEN 2 THEN concat('<gpx><wpt lat="', i, '"/><wpt lon="1" lat="2"/><wpt lat="x" lon="', i % 90, '"></wpt></gpx>')
+  WHEN 3 THEN concat('<trk><trkseg>', repeat(concat('<trkpt lat="', i % 80, '" lon="2"><time>not a time</time></trkpt>'), CAST(i % 4 AS INT)), '</trkseg></trk>') WHEN 4 THEN {KML} END"""
+
+
+@query(f"""SELECT * FROM ({points_sql(*GPX_ROWS)}) WHERE i % 6 = 0
+           UNION ALL SELECT i, -1, NULL, 0, NULL, NULL, CAST(i % 90 AS DOUBLE), NULL, NULL FROM {N} WHERE i % 6 = 2
+           UNION ALL SELECT i, 0, NULL, CAST(unnest(range(0, i % 4)) AS INT), NULL, CAST(i % 80 AS DOUBLE), 2.0, NULL, NULL FROM {N} WHERE i % 6 = 3""")
+def sql_gpx(spark, sf_dir):
+    """Whole, empty, broken, reordered and foreign documents, by a table function."""
+    sql.register(spark)
+    return spark.sql("SELECT i, p.* EXCEPT (ts), unix_seconds(p.ts) AS seconds FROM {d} AS d, LATERAL parse_gpx(d.text) AS p", d=written(spark, sf_dir, GPX_FORMS))
+
+
+@query(f"""SELECT i, 'event' AS kind, 0 AS seq, lang || ' and ' || source AS summary, '2024010' || (i % 9 + 1) || 'T100000Z' AS starts, false AS recurring, 0 AS alarms FROM {N} WHERE i % 3 > 0
+           UNION ALL SELECT i, CASE WHEN i % 2 = 0 THEN 'event' ELSE 'todo' END, 1, NULL, CASE WHEN i % 2 = 0 THEN '20231231' END, i % 2 = 0, CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END FROM {N} WHERE i % 3 > 0""")
+def sql_calendar(spark, sf_dir):
+    """Entries of calendars, of which a third are empty or not closed, by a table function with chosen columns."""
+    sql.register(spark)
+    forms = f"CASE WHEN i % 3 > 0 THEN {ICS} WHEN i % 2 = 0 THEN 'BEGIN:VEVENT\\nSUMMARY:never closed' ELSE '' END"
+    return spark.sql("SELECT i, p.* FROM {d} AS d, LATERAL parse_ics(d.text, 'kind,seq,summary,starts,recurring,alarms') AS p", d=written(spark, sf_dir, forms))
+
+
+@query(CUES)
+def sql_cues(spark, sf_dir):
+    sql.register(spark)
+    d = written(spark, sf_dir, f"CASE WHEN i % 4 = 0 THEN {SRT} WHEN i % 4 = 1 THEN {VTT} WHEN i % 4 = 2 THEN {SBV} ELSE {ASS} END")
+    return spark.sql("SELECT i, p.* EXCEPT (seq) FROM {d} AS d, LATERAL parse_subtitle(d.text) AS p", d=d)
+
+
+RULES = [
+    validate.Field("event_type", among=("view", "click", "purchase")), validate.Field("value", "number", least=0.1, most=0.9), validate.Field("user_id", "int", least=10),
+    validate.Field("tag", pattern=validate.HASH16), validate.Field("tag", longest=16), validate.Field("text_value", "int", required=False), validate.Field("ts", "datetime"), validate.Field("nothing"),
+]
+
+
+@query("""WITH e AS (SELECT *, substr(md5(CAST(event_id AS VARCHAR)), 1, 16 + event_id % 2) AS tag, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 1 THEN event_type END AS text_value FROM events)
+          SELECT event_id, 'event_type' AS field, CASE WHEN event_type IS NULL THEN 'required' ELSE 'among' END AS rule FROM e WHERE event_type IS NULL OR event_type NOT IN ('view', 'click', 'purchase')
+          UNION ALL SELECT event_id, 'value', CASE WHEN value IS NULL THEN 'required' ELSE 'range' END FROM e WHERE value IS NULL OR value < 0.1 OR value > 0.9
+          UNION ALL SELECT event_id, 'user_id', 'range' FROM e WHERE user_id < 10
+          UNION ALL SELECT event_id, 'tag', unnest(['pattern', 'length']) FROM e WHERE event_id % 2 = 1
+          UNION ALL SELECT event_id, 'text_value', 'type' FROM e WHERE event_id % 3 = 1
+          UNION ALL SELECT event_id, 'nothing', 'required' FROM e""")
+def schema_violations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withColumn("tag", F.substring(F.md5(F.col("event_id").cast("string")), F.lit(1), (16 + F.col("event_id") % 2).cast("int")))
+    e = e.withColumn("text_value", F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, F.col("event_type")))
+    return validate.violations(e, RULES, "event_id").drop("value")
