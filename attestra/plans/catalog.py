@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import filetype, hashing, ids, imagehash, metadata, paths
-from attestra.operators import content, dedup, gps, graph, manifest, registry, related
+from attestra.operators import content, dedup, gps, graph, manifest, registry, related, versioned
+from attestra.sources import documents, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -279,6 +282,23 @@ def gps_bounds(spark, sf_dir):
     return b.select("user_id", "points", "south", "north", "west", "east", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
+@query(f"""WITH {EVENTS}, j AS (SELECT v.user_id, v.event_id AS path, lat, lon, row_number() OVER (PARTITION BY v.user_id, v.event_id ORDER BY abs(w.t - v.t), w.t, w.event_id) AS k FROM v JOIN w ON v.user_id = w.user_id AND abs(w.t - v.t) <= 3600000000),
+                m AS (SELECT * FROM j WHERE k = 1)
+           SELECT v.event_id AS path, CASE WHEN m.path IS NOT NULL THEN round(lat, 6) WHEN v.event_id % 2 = 0 THEN 7.0 END AS latitude, CASE WHEN m.path IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN v.event_id % 2 = 0 THEN 1 ELSE 0 END AS events,
+                  CASE WHEN m.path IS NOT NULL THEN 'metadata_modification' ELSE 'ingestion' END AS last_action, v.event_id % 2 = 1 AS made FROM v LEFT JOIN m ON v.event_id = m.path WHERE v.event_id % 2 = 0 OR m.path IS NOT NULL""")
+def gps_sidecars(spark, sf_dir):
+    """Views with even ids have a sidecar with a place and an event; the waypoints that match go into these, or into new ones."""
+    files, points = gps_tables(spark, sf_dir)
+    m = gps.nearest_in_time(files, points, by=["user_id"]).withColumnRenamed("file", "path")
+    event = F.struct(*[F.lit("ingestion" if t == "EventAction" else t).alias(documents.snake(t)) for t in sinks.EVENT_TAGS])
+    photo = F.struct(F.lit("7.0").alias("gps_latitude"))
+    records = files.where("file % 2 = 0").select(F.col("file").alias("path"), F.lit("h").alias("content_hash"), F.array(event).alias("custody"), photo.alias("photo"))
+    known = files.select(F.col("file").alias("path"), F.sha2(F.col("file").cast("string"), 256).alias("content_hash"), F.lit(5).alias("file_size"))
+    out = sinks.with_places(records, m, F.timestamp_seconds(F.lit(1_700_000_000)), "host", "user", "tool", "from a map", known)
+    last = F.element_at("custody", -1)["event_action"]
+    return out.select("path", F.round(F.col("photo.gps_latitude").cast("double"), 6).alias("latitude"), F.size("custody").alias("events"), last.alias("last_action"), (F.col("content_hash") != "h").alias("made"))
+
+
 # --- similarity: the signs of an embedding are a 64-bit hash -----------------------------------------
 
 SIGNS = "h AS (SELECT vec_id, list_reduce(list_prepend(0::UBIGINT, list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN CAST(1 AS UBIGINT) << i ELSE 0::UBIGINT END)), lambda a, x: a | x) AS h FROM embeddings)"
@@ -429,6 +449,20 @@ def camera_match(spark, sf_dir):
     return registry.camera_match(part_files(spark, sf_dir), cameras).select("p_partkey", "camera_id", "confidence", "matched_by")
 
 
+@query("""SELECT p_partkey, CASE WHEN p_partkey < 0 THEN 'added' WHEN p_partkey % 5 = 0 THEN 'removed' ELSE 'modified' END AS change
+          FROM (SELECT p_partkey, p_size FROM part UNION ALL SELECT -1 - p_partkey, 10 FROM part WHERE p_partkey % 7 = 0) WHERE p_partkey < 0 OR p_partkey % 5 = 0 OR (p_partkey % 3 = 0 AND p_size <> 10)""")
+def versioned_parts(spark, sf_dir):
+    """Parts as a table in versions: loaded, changed and added to, removed from; what changed between the first and the last."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    t = versioned.Versioned(spark, f"{graph.shared_dir(spark)}/parts-{uuid.uuid4().hex}", ["p_partkey"], "p_partkey long, p_name string, p_size int")
+    t.upsert(p)
+    changed = p.where("p_partkey % 3 = 0").withColumn("p_size", F.lit(10)).union(p.where("p_partkey % 7 = 0").withColumn("p_partkey", -1 - F.col("p_partkey")))
+    t.upsert(changed)
+    t.add(p.withColumn("p_size", F.lit(99)))  # all are there: they stay
+    t.remove(p.where("p_partkey % 5 = 0"))
+    return t.changes(1, 4)
+
+
 @query("""WITH s AS (SELECT event_type AS extension, CAST(user_id AS VARCHAR) AS path, min(ts) AS t0 FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY extension ORDER BY t0, path) AS k FROM s)
           SELECT e.extension, e.n, (SELECT array_to_string(list(path ORDER BY k.k), ',') FROM k WHERE k.k <= 5 AND k.extension = e.extension) AS samples FROM (SELECT event_type AS extension, count(*) AS n FROM events GROUP BY 1) e""")
 def unknown_extensions(spark, sf_dir):

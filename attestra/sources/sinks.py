@@ -367,3 +367,35 @@ def execute(plan: DataFrame, dry_run: bool = True) -> DataFrame:
     if dry_run:
         return plan.select("path", "action", F.lit("planned").alias("status"), F.col("freed").cast("bigint").alias("freed"), F.lit(None).cast("string").alias("error"))
     return plan.select("path", "keep", "action", F.col("freed").cast("bigint").alias("freed")).mapInPandas(run, "path string, action string, status string, freed bigint, error string")
+
+
+F_EVENTS = "array<struct<" + ", ".join(f"{snake(t)}: string" for t in EVENT_TAGS) + ">>"
+
+# --- places into sidecars ---------------------------------------------------------------------------------
+
+
+def with_places(records: DataFrame, places: DataFrame, at: Column, host: str, user: str, tool: str, note: str = "", files: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """Sidecar records (path and any columns of sidecar_records()) with the places of (path, latitude, longitude,
+    altitude) in their photo part; each change is a custody event. A place of a file without a record makes a record of what
+    files (path, content_hash, file_size) tell, and none without files; other records stay as they are. An altitude that is
+    not known leaves the one that is there. The event's id follows from path and time, so that a task that runs again makes the same."""
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    tags = [snake(t) for t in PARTS["photo"][1]]
+    if files is not None:
+        new = places.select(path).distinct().join(records.select(path), path, "left_anti").join(files, path)
+        made = new.select(path, "content_hash", F.col("file_size").cast("string").alias("file_size"), F.lit("blake3").alias("hash_algorithm"), F.col(path).cast("string").alias("source_path"), stamp.alias("import_timestamp"), stamp.alias("sidecar_created"), F.lit("gps").alias("session_id"))
+        records = records.unionByName(made, allowMissingColumns=True)
+    have = records.columns
+    old = lambda t: F.col(f"photo.{t}") if "photo" in have and t in records.schema["photo"].dataType.names else F.lit(None).cast("string")
+    new = {"gps_latitude": "_p.latitude", "gps_longitude": "_p.longitude", "gps_altitude": "_p.altitude"}
+    photo = F.struct(*[(F.coalesce(F.col(new[t]).cast("string"), old(t)) if t in new else old(t)).alias(t) for t in tags])
+    event = new_custody_event("metadata_modification", "success", at, host, user, tool, F.lit(None), F.substring(F.sha2(F.concat_ws("|", F.col(path).cast("string"), stamp), 256), 1, 16))
+    event = F.struct(*[(F.lit(note) if t == "EventNotes" else event[snake(t)]).cast("string").alias(snake(t)) for t in EVENT_TAGS])
+    chain = F.coalesce("custody", F.array().cast(F_EVENTS)) if "custody" in have else F.array().cast(F_EVENTS)
+    p = places.groupBy(path).agg(F.min(F.struct("latitude", "longitude", "altitude")).alias("_p"))
+    j = records.join(p, path, "left").withColumn("_on", F.col("_p").isNotNull())
+    keep = lambda c, v: F.when(F.col("_on"), v).otherwise(F.col(c) if c in have else F.lit(None)).alias(c)
+    had = F.col("photo").isNotNull() if "photo" in have else F.lit(False)
+    j = j.withColumn("_photo", F.when(F.col("_on") | had, photo)).withColumn("_chain", F.array_append(chain, event))
+    cols = {"custody": F.col("_chain"), "event_count": F.size("_chain").cast("string"), "sidecar_updated": stamp}
+    return j.select(*[F.col(c) for c in have if c not in cols and c != "photo"], F.col("_photo").alias("photo"), *[keep(c, v) for c, v in cols.items()])
