@@ -64,7 +64,18 @@ def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("s"))
         return F.struct(end.alias("at"), F.when(ok(x), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    def placed(acc, part):
+        moved = F.transform(part["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + acc["at"]).alias("end"), x["s"].alias("s")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+    # Appending copies a list: matches are placed in parts of the root of their number, and the parts one after the other.
+    def in_parts(x):
+        n = F.ceil(F.sqrt(F.size(x["v"]))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.slice(x["v"], i * n + 1, n), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+        none = F.array().cast("array<array<struct<start:int,kind:int,end:int,s:string>>>")
+        return F.when(n > 0, F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), placed)["out"])).otherwise(empty)
+
+    return bound(F.struct(both.alias("v")), in_parts)
 
 
 def bound(value: Column, body) -> Column:
@@ -282,11 +293,26 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     found = cut(detected(d, text, *d.columns))
     _, every = all_spans(levels(found))
 
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        more = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
+    # A text is cleaned in parts of the root of the number of spans, since adding to a text and counting into it both walk it.
+    def cleaned(x):
+        spans, whole = x["v"], x["t"]
+        n = F.ceil(F.sqrt(F.size(spans))).cast("int")
+        last = F.ceil(F.size(spans) / n).cast("int") - 1
+        start = lambda i: F.when(i == 0, 0).when(i > last, F.length(whole)).otherwise(F.get(spans, i * n)["start"])
+        cut_up = lambda i: F.struct(start(i).alias("a"), start(i + 1).alias("z"), F.substring(whole, start(i) + 1, start(i + 1) - start(i)).alias("t"), F.slice(spans, i * n + 1, n).alias("v"))
+
+        def part(acc, y):
+            def step(now, x):
+                fresh = x["start"] >= now["at"]
+                more = F.when(fresh, F.concat(now["out"], F.substring(y["t"], now["at"] - y["a"] + 1, x["start"] - now["at"]), F.lit(mark))).otherwise(now["out"])
+                return F.struct(F.greatest(now["at"], x["end"]).alias("at"), more.alias("out"))
+
+            tail = lambda now: F.struct(F.greatest(now["at"], y["z"]).alias("at"), F.when(now["at"] < y["z"], F.concat(now["out"], F.substring(y["t"], now["at"] - y["a"] + 1, y["z"] - now["at"]))).otherwise(now["out"]).alias("out"))
+            done = F.aggregate(y["v"], F.struct(acc["at"].alias("at"), F.lit("").alias("out")), step, tail)
+            return bound(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["out"], d["out"]).alias("out")))
+
+        parts = F.transform(F.sequence(F.lit(0), last), cut_up)
+        return F.array_join(F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), part)["out"], "")
 
-    cleaned = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     out = found.withColumn("_spans", every)
-    return out.select(*[F.when(F.size("_spans") > 0, cleaned).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in d.columns]).toDF(*docs.columns)
+    return out.select(*[F.when(F.size("_spans") > 0, bound(F.struct(F.col("_spans").alias("v"), F.col(text).alias("t")), cleaned)).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in d.columns]).toDF(*docs.columns)
