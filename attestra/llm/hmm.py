@@ -25,6 +25,8 @@ from .substrings import split_words
 
 #: Words that are classes of their own, classes by ending, hidden states, rounds over all texts.
 OWN, ENDINGS, STATES, ROUNDS = 2000, 2000, 6, 3
+#: Hashes of blocks are taken modulo this.
+SPAN = 1_000_000_007
 #: The first guess learns moves and words from at most FIRST stretches of at most STRETCH tokens, in so many rounds.
 STRETCH, FIRST, FIRST_ROUNDS = 64, 4000, 12
 #: Tokens whose forward vectors are held at once; of longer runs they are computed anew from kept ones.
@@ -281,7 +283,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, fold: int
         for b in batches:
             yield from b.to_pylist()
 
-    each = -(-FIRST // max(1, coded.count()))
+    # Of many blocks some are drawn by the hash of their ids, so that the driver gets some FIRST stretches, however many there are.
+    blocks_left = coded.count()
+    drawn = coded.where(F.pmod(F.xxhash64("docs"), F.lit(SPAN)) < int(SPAN * min(1.0, FIRST / max(1, blocks_left))))
+    each = -(-FIRST // max(1, min(FIRST, blocks_left)))
 
     def learned(row):
         _, away, lens, seq = texts(row)
@@ -292,7 +297,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, fold: int
             found = stretches(*learned(row), each)
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.uint16).tobytes() for x in found], pa.binary())], ["x"])
 
-    first = sorted((np.frombuffer(r[0], np.uint16) for r in coded.mapInArrow(some, "x binary").collect()), key=lambda s: (-len(s), s.tobytes()))[: 2 * FIRST]
+    first = sorted((np.frombuffer(r[0], np.uint16) for r in drawn.mapInArrow(some, "x binary").collect()), key=lambda s: (-len(s), s.tobytes()))[: 2 * FIRST]
     model = Model.guess(freq, states)
     if first:
         x, n = np.concatenate(first), np.array([len(s) for s in first])
