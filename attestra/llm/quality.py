@@ -12,14 +12,19 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from .common import cut, doc_columns, id_key, numbered, real_id
 
 #: Labelled rows that the fit uses at most, those of the smallest hash of doc_id.
 SAMPLE = 20_000
+#: Ids with rows on either side of the threshold that are broadcast.
+FEW = 100_000
 #: Hashes of doc_id are taken modulo this.
 SPAN = 1_000_000_007
 BINS, PAIR_BINS, PAIRS, ROUNDS, RATE, LEAST = 32, 12, 6, 200, 0.15, 10
@@ -163,22 +168,45 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7, held_out: i
     as texts of no words; a null doc_id stays null and is held in; repeated rows each come back;
     an empty table gives an empty result; other columns are not looked at.
     """
-    fold = lambda c: F.coalesce(F.pmod(F.crc32(real_id(c).cast("string").cast("binary")), F.lit(4)) == (-1 if held_out is None else held_out), F.lit(False))
     x = cut(with_features(docs))
+    model = fitted(x, labels, held_out, sample)
+    return scored(x, model).select(real_id("id").alias("doc_id"), fold("id", held_out).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def fold(c: str, held_out: int | None) -> Column:
+    """Whether a row is held out of the fit by its id."""
+    return F.coalesce(F.pmod(F.crc32(real_id(c).cast("string").cast("binary")), F.lit(4)) == (-1 if held_out is None else held_out), F.lit(False))
+
+
+def fitted(x: DataFrame, labels: DataFrame, held_out: int | None, sample: int) -> Model:
+    """The model of features x (id, x) and labels (doc_id, quality), of which at most sample rows come to the driver."""
     truth = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"))
-    known = x.join(truth.where(~fold("id")), "id").select("x", "quality", F.pmod(F.xxhash64("id"), F.lit(SPAN)).alias("h"))
+    known = x.join(truth.where(~fold("id", held_out)), "id").select("x", "quality", F.pmod(F.xxhash64("id"), F.lit(SPAN)).alias("h"))
     part = min(1.0, 1.5 * sample / max(1, known.count()))  # so that a task sends the driver its share, not a whole sample
     known = known.where(F.col("h") < int(SPAN * part)).orderBy("h", "quality", "x").limit(sample).collect()
-    model = train(np.array([r[0] for r in known], dtype=float).reshape(-1, len(FEATURES)), np.array([r[1] for r in known], dtype=float))
+    return train(np.array([r[0] for r in known], dtype=float).reshape(-1, len(FEATURES)), np.array([r[1] for r in known], dtype=float))
+
+
+def scored(x: DataFrame, model: Model) -> DataFrame:
+    """(id, score) of features (id, x)."""
 
     def run(batches):
         for b in batches:
-            col = b.column("x")
-            v = np.asarray(col.flatten()).reshape(-1, len(FEATURES)).astype(float)
+            v = np.asarray(b.column("x").flatten()).reshape(-1, len(FEATURES)).astype(float)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.score(v))], ["id", "score"])
 
-    scored = x.mapInArrow(run, "id long, score double")
-    return scored.select(real_id("id").alias("doc_id"), fold("id").alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return x.mapInArrow(run, "id long, score double")
+
+
+def score_of(model: Model):
+    """The score as a function of a column of texts."""
+
+    @pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        v = np.array([features(t or "") for t in texts], dtype=np.float32).reshape(-1, len(FEATURES))
+        return pd.Series(model.score(v.astype(float)))
+
+    return score
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
@@ -187,6 +215,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFra
     Null and empty texts are scored as texts of no words; of rows that share a doc_id all stay if one is
     good, null ids being one id; repeated rows stay or go together; an empty table gives an empty result.
     """
-    good = classify(docs.select("doc_id", "text"), labels, least).where("predicted = 1").select(id_key("doc_id").alias("k")).distinct()
+    x = cut(with_features(docs.select("doc_id", "text")))
+    model = fitted(x, labels, 2, SAMPLE)
+    good = F.col("score") >= least
+    mixed = scored(x, model).groupBy("id").agg(F.max(good).alias("some"), F.min(good).alias("all")).where("some and not all").select("id")
     d, at = numbered(docs)
-    return d.withColumn("k", id_key(at["doc_id"])).join(good, "k", "left_semi").select(*d.columns).toDF(*docs.columns)
+    key, keep = id_key(at["doc_id"]), score_of(model)(F.coalesce(F.col(at["text"]), F.lit(""))) >= least
+    # Only ids whose rows differ need to be looked up: texts stay where they are unless there are very many of these.
+    if not (n := mixed.count()):
+        return d.where(keep).toDF(*docs.columns)
+    some = (F.broadcast(mixed) if n <= FEW else mixed).select(F.col("id").alias("k"), F.lit(True).alias("stays"))
+    marked = d.select("*", keep.alias("own")).join(some, key == F.col("k"), "left")
+    return marked.where(F.col("own") | F.coalesce("stays", F.lit(False))).select(*d.columns).toDF(*docs.columns)
