@@ -19,11 +19,11 @@ CATEGORIES = (
     )),
     ("video", (
         "mp4", "m4v", "mov", "mkv", "webm", "avi", "wmv", "flv", "mpg", "mpeg", "vob", "ts", "mts", "m2ts", "tod", "3gp", "3g2", "mxf",
-        "r3d", "braw", "ogv", "dv",
+        "r3d", "braw", "ogv", "dv", "asf", "3gpp", "3gp2", "rm", "rmvb", "f4v", "mk3d", "h264", "hevc",
     )),
     ("audio", (
         "mp3", "aac", "m4a", "m4b", "ogg", "oga", "opus", "wma", "flac", "alac", "ape", "wv", "tta", "wav", "aiff", "aif", "au", "mid",
-        "midi", "amr", "dsf",
+        "midi", "amr", "dsf", "aifc", "caf", "mka", "dff", "ac3", "dts", "ra",
     )),
     ("sidecar", (
         "xmp", "aae", "srt", "vtt", "ass", "ssa", "lrv", "thm", "moi", "cpi", "bdm", "mpl", "rmd", "ale", "sidecar", "cube", "md5",
@@ -55,12 +55,34 @@ CATEGORIES = (
         "json", "yaml", "yml", "eml", "msg", "js", "py", "rs", "go", "c", "h", "css",
     )),
 )
+#: Parts of a MIME subtype that tell an archive, a program or a document; of the rest, the main type is the category.
+BY_SUBTYPE = (("archive", ("zip", "tar", "compress", "archive", "cpio", "shar")), ("executable", ("octet-stream", "msdownload", "python-code")), ("document", ("pdf", "word", "excel", "powerpoint", "postscript", "tex", "troff", "json", "xml", "javascript", "rtf", "pkcs")))
+BY_TYPE = {"image": "image", "video": "video", "audio": "audio", "font": "font", "text": "document", "message": "document"}
+#: Families of extensions by rule: parts of split archives, backups, numbered manual pages and so on.
+FAMILIES = ((r"^\.(r|z|c)\d{2,3}$|^\.(part\d+|\d{3})$", "archive"), (r"^\.(adoc|asciidoc|rst|org|textile|tex|bib|log|ini|cfg|conf|toml|env)$", "document"))
+
+
+def registered(known=()) -> list[tuple[str, tuple[str, ...]]]:
+    """Categories in the form of CATEGORIES of those extensions of the standard library's MIME registry (the same on every
+    host; the host's own tables are left out) that known lacks."""
+    import mimetypes
+
+    table, out = mimetypes.MimeTypes(filenames=()), {}
+    for ext, mime in sorted({**table.types_map[False], **table.types_map[True]}.items()):
+        main, _, sub = mime.partition("/")
+        category = BY_TYPE.get(main) or next((name for name, parts in BY_SUBTYPE if any(p in sub for p in parts)), None)
+        if category and ext[1:] not in known:
+            out.setdefault(category, []).append(ext[1:])
+    return [(name, tuple(exts)) for name, exts in out.items()]
+
+
 RAW_EXT = tuple("." + e for e in CATEGORIES[0][1])
 
 
 def extension_rows(categories=CATEGORIES) -> list[tuple[str, str, int]]:
-    """(ext, category, priority); a longer table may be given in the same form."""
-    return [("." + e, name, i) for i, (name, exts) in enumerate(categories) for e in exts]
+    """(ext, category, priority): the table's, then the MIME registry's; a longer table may be given in the same form."""
+    every = [*categories, *registered({x for _, xs in categories for x in xs})]
+    return [("." + e, name, i) for i, (name, exts) in enumerate(every) for e in exts]
 
 
 def extension_table(spark: SparkSession, categories=CATEGORIES) -> DataFrame:
@@ -68,9 +90,13 @@ def extension_table(spark: SparkSession, categories=CATEGORIES) -> DataFrame:
 
 
 def media_category(path: Column, categories=CATEGORIES) -> Column:
-    """The category of a path's extension, whatever the case; 'other' if no category has it."""
-    e, out = F.lower(extension(path)), F.lit("other")
-    for name, exts in reversed(categories):
+    """The category of a path's extension, whatever the case: that of the table, else of the MIME registry, else of a
+    family; 'other' if none has it. categories: another table, which may be as long as need be."""
+    e = F.lower(extension(path))
+    out = F.lit("other")
+    for pattern, name in reversed(FAMILIES):
+        out = F.when(e.rlike(pattern), name).otherwise(out)
+    for name, exts in reversed([*categories, *registered({x for _, xs in categories for x in xs})]):
         out = F.when(e.isin(*["." + x for x in exts]), name).otherwise(out)
     return out
 

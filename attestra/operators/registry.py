@@ -113,23 +113,44 @@ def camera_of_folder(path: Column) -> Column:
     return out
 
 
+#: The last year in which a consumer camera is taken to interlace.
+INTERLACED_UNTIL = 2014
+# Tiers by medium or category, in the order in which they are tried.
+TIERS = (("medium", "dadcam", "legacy"), ("medium", "super8", "legacy"), ("category", "cinema", "pro"), ("category", "professional", "pro"), ("category", "prosumer", "prosumer"))
+# Extensions of files beside a camera's own, by make, categories and parts of the model's name (empty: any).
+BESIDE = (
+    ("dji", (), (), (".srt",)), ("gopro", (), (), (".thm", ".lrv")), ("sony", ("cinema", "professional"), (), (".xml",)), ("sony", (), ("HDR", "DCR"), (".moi", ".mpl")), ("canon", (), (), (".thm",)),
+    ("canon", ("cinema",), (), (".cif",)), ("red", (), (), (".rmd",)), ("blackmagic", (), (), (".sidecar",)), ("arri", (), (), (".ale", ".xml")), ("apple", (), (), (".aae",)),
+)
+# What an unknown extension may be, by pattern, in the order in which they are tried.
+GUESSES = (
+    (r"^\.(vid|mov|clip|rec|cap)", "video"), (r"\d{3,4}p$", "video"), (r"^\.(snd|aud|sfx|mus|vox)", "audio"), (r"^\.(img|pic|pho|tex)", "image"),
+    (r"^\.(z[0-9]+|part[0-9]+)$", "archive"), (r"\.(bak|tmp|temp|old|orig|backup)$", "document"),
+)
+
+
 def deinterlace(medium: Column, category: Column, year: Column, flag: Column) -> Column:
-    return F.coalesce(flag, F.lit(False)) | F.coalesce(medium == "dadcam", F.lit(False)) | F.coalesce((category == "consumer") & (year < 2015) & (year != 0), F.lit(False))
+    """Whether a camera's video is to be deinterlaced: it is said, the medium is, or it is an old consumer camera of a known year."""
+    holds = (flag, medium == "dadcam", (category == "consumer") & (year != 0) & (year <= INTERLACED_UNTIL))
+    return F.exists(F.array(*[F.coalesce(h, F.lit(False)) for h in holds]), lambda x: x)
 
 
 def quality_tier(medium: Column, category: Column) -> Column:
-    return F.when(medium.isin("dadcam", "super8"), "legacy").when(category.isin("cinema", "professional"), "pro").when(category == "prosumer", "prosumer").otherwise("consumer")
+    of = {"medium": medium, "category": category}
+    return F.coalesce(*[F.when(of[column] == value, tier) for column, value, tier in TIERS], F.lit("consumer"))
 
 
 def expected_sidecars(make: Column, model: Column, category: Column) -> Column:
     """The extensions that a camera's files may be accompanied by."""
-    m = F.lower(make)
-    arr = lambda *x: F.array(*map(F.lit, x))
-    none = F.array().cast("array<string>")
-    sony = F.concat(F.when(category.isin("cinema", "professional"), arr(".xml")).otherwise(none), F.when(F.contains(model, F.lit("HDR")) | F.contains(model, F.lit("DCR")), arr(".moi", ".mpl")).otherwise(none))
-    canon = F.concat(arr(".thm"), F.when(category == "cinema", arr(".cif")).otherwise(none))
-    more = F.when(m == "dji", arr(".srt")).when(m == "gopro", arr(".thm", ".lrv")).when(m == "sony", sony).when(m == "canon", canon).when(m == "red", arr(".rmd")).when(m == "blackmagic", arr(".sidecar")).when(m == "arri", arr(".ale", ".xml")).when(m == "apple", arr(".aae")).otherwise(none)
-    return F.concat(arr(".xmp"), more)
+    def row(of_make, categories, parts, extensions):
+        holds = F.lower(make) == of_make
+        if categories:
+            holds = holds & category.isin(*categories)
+        if parts:
+            holds = holds & F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(model, p))
+        return F.when(holds, F.array(*map(F.lit, extensions))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(F.array(F.lit(".xmp")), *[row(*r) for r in BESIDE])
 
 
 def merge_registries(mine: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
@@ -141,14 +162,8 @@ def merge_registries(mine: DataFrame, other: DataFrame, key: str = "id") -> Data
 
 
 def guess_category(ext: Column) -> Column:
-    e = F.lower(ext)
-    return (
-        F.when(e.rlike(r"^\.(vid|mov|clip|rec|cap)") | e.rlike(r"\d{3,4}p$"), "video")
-        .when(e.rlike(r"^\.(snd|aud|sfx|mus|vox)"), "audio")
-        .when(e.rlike(r"^\.(img|pic|pho|tex)"), "image")
-        .when(e.rlike(r"^\.(z[0-9]+|part[0-9]+)$"), "archive")
-        .when(e.rlike(r"\.(bak|tmp|temp|old|orig|backup)$"), "document")
-    )
+    """The category that GUESSES give first; null if none does."""
+    return F.coalesce(*[F.when(F.lower(ext).rlike(pattern), category) for pattern, category in GUESSES])
 
 
 def unknown_extensions(events: DataFrame, samples: int = 5) -> DataFrame:

@@ -137,3 +137,14 @@ def test_image_hashes(spark):
     for method in imagehash.METHODS:
         got = {r.path: r.hash for r in imagehash.image_hashes(d, method).collect()}
         assert got["a"] == got["brighter"] != got["other"] and len(got["a"]) == 16
+
+
+def test_extensions_beyond_the_table(spark):
+    """The standard library's MIME registry and families by rule go on where the table ends."""
+    from attestra.functions import filetype
+
+    names = {"a.3GPP": "video", "a.asf": "video", "a.aifc": "audio", "a.adoc": "document", "a.r07": "archive", "a.part12": "archive", "a.pbm": "image", "a.latex": "document", "a.shar": "archive", "a.zzz": "other", "noext": "other"}
+    got = one(spark, *[filetype.media_category(F.lit(n)).alias(f"c{i}") for i, n in enumerate(names)])
+    assert dict(zip(names, got, strict=True)) == names
+    rows = filetype.extension_rows()
+    assert len({r[0] for r in rows if r[0] in {"." + x for x in filetype.CATEGORIES[2][1]}}) == len(filetype.CATEGORIES[2][1]) and len(rows) > 290
