@@ -45,7 +45,7 @@ def wildcard(name: Column, pattern: str) -> Column:
 
 
 # Patterns that are always ignored.
-DEFAULT_IGNORES = (".git/", ".svn/", ".hg/", ".DS_Store", "Thumbs.db", "*.partial", "*.tmp", "*.swp", "*~", "node_modules/", ".wnbignore")
+DEFAULT_IGNORES = (".git/", ".svn/", ".hg/", ".DS_Store", "Thumbs.db", "*.partial", "*.tmp", "*.swp", "*~", "node_modules/", ".scanignore")
 
 
 def ignore_regex(pattern: str) -> tuple[str, bool] | None:

@@ -248,11 +248,13 @@ CORE = (
     "DuplicateOf", "WasRenamed", "OriginalFilename", "DestFilename", "IsLivePhoto", "LivePhotoRole", "RelationType", "IsPrimaryFile", "FirstSeen",
     "EventCount",
 )
-HASH_LINE = r"\n?[ \t]*<wnb:SidecarHash>[^<]*</wnb:SidecarHash>"
+# Fixed values of the sidecars' wire format: the prefix and name space of their tags.
+TAG_PREFIX, NAMESPACE = "wnb", "http://wnb.dev/xmp/1.0/"
+HASH_LINE = rf"\n?[ \t]*<{TAG_PREFIX}:SidecarHash>[^<]*</{TAG_PREFIX}:SidecarHash>"
 
 
 def field(text: str | Column, tag: str) -> Column:
-    return xml_unescape(tag_text(F.col(text) if isinstance(text, str) else text, f"wnb:{tag}"))
+    return xml_unescape(tag_text(F.col(text) if isinstance(text, str) else text, f"{TAG_PREFIX}:{tag}"))
 
 
 def snake(tag: str) -> str:
@@ -273,8 +275,8 @@ def sidecar_records(docs: DataFrame, text: str = "text") -> DataFrame:
         some = F.coalesce(*[field(t, tag) for tag in tags[:n]]).isNotNull()
         cols.append(F.when(some, F.struct(*[field(t, tag).alias(snake(tag)) for tag in tags])).alias(name))
     event = lambda b: F.struct(*[field(b, tag).alias(snake(tag)) for tag in ("EventID", "EventTimestamp", "EventAction", "EventOutcome", "EventLocation", "EventUser", "EventHost", "EventTool", "EventHashValue", "EventNotes")])
-    chain = F.regexp_extract(t, r"(?is)<wnb:CustodyChain>(.*?)</wnb:CustodyChain>", 1)
-    cols.append(F.transform(F.filter(blocks(chain, "rdf:li"), lambda b: F.contains(b, F.lit("wnb:EventID"))), event).alias("custody"))
+    chain = F.regexp_extract(t, rf"(?is)<{TAG_PREFIX}:CustodyChain>(.*?)</{TAG_PREFIX}:CustodyChain>", 1)
+    cols.append(F.transform(F.filter(blocks(chain, "rdf:li"), lambda b: F.contains(b, F.lit(f"{TAG_PREFIX}:EventID"))), event).alias("custody"))
     stored, actual = field(t, "SidecarHash"), F.substring(blake3_full(F.regexp_replace(t, HASH_LINE, "")), F.lit(1), F.length(field(t, "SidecarHash")))
     missing = F.filter(F.array(*[F.when(field(t, tag).isNull(), F.lit(f"missing {tag}")) for tag in REQUIRED]), lambda x: x.isNotNull())
     wrong = F.when(stored != actual, F.array(F.lit("self-hash disagrees"))).otherwise(F.array().cast("array<string>"))

@@ -18,7 +18,7 @@ from attestra.functions.hashing import blake3_full
 from attestra.functions.metadata import last_wins
 from attestra.functions.paths import xml_escape
 
-from .documents import CORE, PARTS, snake
+from .documents import CORE, NAMESPACE, PARTS, TAG_PREFIX, snake
 
 # --- lines -----------------------------------------------------------------------------------------
 
@@ -181,7 +181,6 @@ def _read(path: str) -> bytes:
 
 # --- sidecars ------------------------------------------------------------------------------------------
 
-NAMESPACE = "http://wnb.dev/xmp/1.0/"
 EVENT_TAGS = ("EventID", "EventTimestamp", "EventAction", "EventOutcome", "EventLocation", "EventUser", "EventHost", "EventTool", "EventHashValue", "EventNotes")
 
 
@@ -189,8 +188,8 @@ def sidecar_text(columns: list[str]) -> Column:
     """A sidecar's text from the columns of sidecar_records() that there are: every field that is
     not null is written, custody events in order, and the document's own hash last."""
     have = set(columns)
-    line = lambda tag, c, pad="      ": F.when(c.isNotNull(), F.concat(F.lit(f"{pad}<wnb:{tag}>"), xml_escape(c.cast("string")), F.lit(f"</wnb:{tag}>\n"))).otherwise("")
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/">\n  <rdf:RDF\n    xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"\n    xmlns:wnb="{NAMESPACE}">\n    <rdf:Description rdf:about="">\n'
+    line = lambda tag, c, pad="      ": F.when(c.isNotNull(), F.concat(F.lit(f"{pad}<{TAG_PREFIX}:{tag}>"), xml_escape(c.cast("string")), F.lit(f"</{TAG_PREFIX}:{tag}>\n"))).otherwise("")
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/">\n  <rdf:RDF\n    xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"\n    xmlns:{TAG_PREFIX}="{NAMESPACE}">\n    <rdf:Description rdf:about="">\n'
     parts = [F.lit(head)]
     parts += [line(t, F.col(snake(t))) for t in CORE if snake(t) in have]
     for name, (_, tags) in PARTS.items():
@@ -198,12 +197,12 @@ def sidecar_text(columns: list[str]) -> Column:
             parts += [line(t, F.col(f"{name}.{snake(t)}")) for t in tags]
     if "custody" in have:
         event = lambda e: F.concat(F.lit("          <rdf:li rdf:parseType=\"Resource\">\n"), *[line(t, e[snake(t)], "            ") for t in EVENT_TAGS], F.lit("          </rdf:li>\n"))
-        chain = F.concat(F.lit("      <wnb:CustodyChain>\n        <rdf:Seq>\n"), F.array_join(F.transform("custody", event), ""), F.lit("        </rdf:Seq>\n      </wnb:CustodyChain>\n"))
+        chain = F.concat(F.lit(f"      <{TAG_PREFIX}:CustodyChain>\n        <rdf:Seq>\n"), F.array_join(F.transform("custody", event), ""), F.lit(f"        </rdf:Seq>\n      </{TAG_PREFIX}:CustodyChain>\n"))
         parts.append(F.when(F.size("custody") > 0, chain).otherwise(""))
     tail = "    </rdf:Description>\n  </rdf:RDF>\n</x:xmpmeta>\n"
     body = F.concat(*parts)
     whole = F.concat(body, F.lit(tail))
-    return F.concat(F.regexp_replace(body, r"\n$", ""), F.lit("\n      <wnb:SidecarHash>"), blake3_full(whole_without(whole)), F.lit("</wnb:SidecarHash>\n"), F.lit(tail))
+    return F.concat(F.regexp_replace(body, r"\n$", ""), F.lit(f"\n      <{TAG_PREFIX}:SidecarHash>"), blake3_full(whole_without(whole)), F.lit(f"</{TAG_PREFIX}:SidecarHash>\n"), F.lit(tail))
 
 
 def whole_without(c: Column) -> Column:
