@@ -112,6 +112,39 @@ def companions(files: DataFrame, path: str = "path") -> DataFrame:
     return main.join(plain.union(clip), ["dir", "key"]).where("main <> path").select(F.col("main").alias("path"), F.col("path").alias("companion"))
 
 
+# Companions that are only told to be there.
+PRESENT = (".lrf", ".lrv", ".gpr", ".sidecar", ".nksc")
+
+
+def companion_tags(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, companion, extension, tags) of files (path, text) and their companions: the tags that each companion's text
+    has by its format; of a binary one that it is there; none of an XML that is no clip's. Texts travel once, with the companion."""
+    from attestra.sources import documents
+
+    pairs = companions(files.select(path), path)
+    c = files.select(F.col(path).alias("companion"), F.col(text).alias("_text"), F.lower(extension(F.col(path))).alias("extension"))
+    ext, none = F.col("extension"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    clip = F.contains("_text", F.lit("NonRealTimeMeta")) | F.contains("_text", F.lit("professionalDisc"))
+    kind = F.upper(F.substring(ext, 2, 20))
+    there = F.create_map(F.concat(kind, F.lit(":Present")), F.lit("true"), F.concat(kind, F.lit(":MetadataSource")), kind)
+    ale = F.col("_text").rlike(r"(?:^|\n)Column\r?\n")
+    head = lambda section: F.split(F.regexp_extract(F.regexp_replace("_text", "\r", ""), rf"(?:^|\n){section}\n([^\n]*)", 1), "\t")
+    named = F.filter(F.arrays_zip(head("Column").alias("k"), head("Data").alias("v")), lambda x: x["k"].isNotNull() & (x["k"] != "") & x["v"].isNotNull())
+    row = F.map_from_entries(F.transform(named, lambda x: F.struct(F.concat(F.lit("ALE:"), x["k"]), x["v"])))
+    tags = (
+        F.when(ext == ".srt", documents.drone_tags("_text")).when((ext == ".xml") & clip, documents.sony_tags("_text")).when(ext == ".aae", documents.edit_tags("_text"))
+        .when(ext == ".rmd", documents.cinema_tags("_text")).when((ext == ".ale") & ale, row).when(ext.isin(*PRESENT), there)
+    )
+    return pairs.join(c, "companion").select("path", "companion", "extension", F.coalesce(tags, none).alias("tags"))
+
+
+def with_sidecar(files: DataFrame, path: str = "path", suffix: str = ".xmp", out: str = "has_sidecar") -> DataFrame:
+    """files with out: whether the file of the same path and suffix is there too."""
+    there = files.select(F.col(path).alias("_side")).where(F.endswith("_side", F.lit(suffix))).distinct()
+    j = files.join(there, F.concat(F.col(path), F.lit(suffix)) == F.col("_side"), "left")
+    return j.withColumn(out, F.col("_side").isNotNull()).drop("_side")
+
+
 XML_SUFFIXES = ("", "M01", "M02", "_metadata", "_meta", "_info")
 
 

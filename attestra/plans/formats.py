@@ -403,6 +403,46 @@ def registry_totals(spark, sf_dir):
     return registry.totals(d, "device", "maker", "files").select(F.col("device").alias("devices"), F.col("maker").alias("makers"), F.col("files").alias("seen"))
 
 
+PLIST = "concat('<key>adjustmentData</key><key>adjustmentFormatVersion</key> <string>1.', i, '</string>')"
+SIDES = "concat('d', CAST(floor(i / 6) AS BIGINT), '/', CASE i % 6 WHEN 0 THEN 'A.MP4' WHEN 1 THEN 'a.srt' WHEN 2 THEN 'AM01.XML' WHEN 3 THEN 'a.aae' WHEN 4 THEN 'a.LRV' ELSE 'A.MP4.xmp' END)"
+
+
+@query(f"""SELECT 'd' || i // 6 || '/A.MP4' AS path, 'd' || i // 6 || ['/a.srt', '/AM01.XML', '/a.aae', '/a.LRV'][CAST(i % 6 AS INT)] AS companion,
+                  CASE i % 6 WHEN 1 THEN CAST(i % 800 AS VARCHAR) WHEN 2 THEN CAST(i AS VARCHAR) WHEN 3 THEN '1.' || i ELSE 'true' END AS told FROM {N} WHERE i % 6 BETWEEN 1 AND 4 AND i // 6 IN (SELECT i // 6 FROM {N} WHERE i % 6 = 0)""")
+def companion_tags(spark, sf_dir):
+    """Telemetry, clip XML, adjustments and a proxy beside each sixth document, a video."""
+    d = written(spark, sf_dir, f"CASE i % 6 WHEN 1 THEN {DRONE} WHEN 2 THEN {CLIP_XML} WHEN 3 THEN {PLIST} ELSE '' END", SIDES)
+    t = related.companion_tags(d)
+    told = F.coalesce(*[F.try_element_at("tags", F.lit(k)) for k in ("DJI:ISO", "Sony:Serial", "AAE:Version", "LRV:Present")])
+    return t.select("path", "companion", told.alias("told"))
+
+
+@query(f"SELECT i, i % 6 = 0 AND i + 5 IN (SELECT doc_id FROM documents) AS has_sidecar FROM {N}")
+def sidecar_there(spark, sf_dir):
+    return related.with_sidecar(written(spark, sf_dir, "''", SIDES)).select("i", "has_sidecar")
+
+
+@query("""SELECT doc_id AS path, unnest(['SHA256     ' || sha256(text) || '  ' || doc_id, 'MD5        ' || md5(text) || '  ' || doc_id]) AS line FROM documents""")
+def all_hash_lines(spark, sf_dir):
+    """Those lines of all digests that SQL can tell."""
+    from attestra.functions import hashing
+
+    h = hashing.all_hashes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", F.octet_length("text").alias("size")), "text")
+    lines = sinks.all_hash_lines(h)
+    return lines.where("line LIKE 'SHA256 %' OR line LIKE 'MD5 %'")
+
+
+@query(f"""SELECT i, concat_ws(chr(10), CASE WHEN i % 2 = 0 THEN 'Card Reader: ' || lang || ' R' END, CASE WHEN i % 2 = 0 AND i % 4 > 0 THEN '  Serial: ' || i END, CASE WHEN i % 3 = 0 THEN 'USB: ' || source || chr(10) || '  VID:PID: 1:2' END,
+                  CASE WHEN i % 5 > 0 THEN 'Media: ' || CASE WHEN i % 5 = 1 THEN 'UNKNOWN' ELSE 'SD' END || CASE WHEN i > 0 THEN chr(10) || '  Capacity: ' || i || '.0 GB' ELSE '' END END, 'Camera Body: ' || i) AS text FROM {N}""")
+def device_text(spark, sf_dir):
+    d = numbers(spark, sf_dir)
+    i, none = F.col("i"), F.lit(None).cast("string")
+    reader = F.when(i % 2 == 0, F.struct(F.col("lang").alias("vendor"), F.lit("R").alias("model"), F.when(i % 4 > 0, i.cast("string")).otherwise("").alias("serial")))
+    usb = F.when(i % 3 == 0, F.struct(F.col("source").alias("device_name"), F.lit("1").alias("vendor_id"), F.lit("2").alias("product_id"), none.alias("serial")))
+    media = F.when(i % 5 > 0, F.struct(F.when(i % 5 > 1, "sd").alias("type"), none.alias("manufacturer"), none.alias("serial"), (i * F.lit(1 << 30)).alias("capacity")))
+    return d.select("i", sinks.device_text(reader, usb, media, i, none).alias("text"))
+
+
 # --- functions by name, schemas ------------------------------------------------------------------------
 
 

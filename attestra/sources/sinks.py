@@ -37,6 +37,36 @@ def hash_lines(hashed: DataFrame, fmt: str = "text", algorithm: str = "blake3")
     return hashed.select(forms[fmt].alias("line"))
 
 
+# The labels of the digests of one file, in order.
+ALL_HASHES = (("BLAKE3", "blake3"), ("BLAKE3-256", "blake3_full"), ("SHA256", "sha256"), ("SHA512", "sha512"), ("MD5", "md5"), ("XXHASH64", "xxhash64"))
+
+
+def all_hash_lines(hashed: DataFrame, fmt: str = "text") -> DataFrame:
+    """(path, line) of (path, size and the columns of hashing.all_hashes()): a line for each digest, or one JSON object."""
+    if fmt not in ("text", "json"):
+        raise ValueError(f"unknown format {fmt!r}")
+    if fmt == "json":
+        return hashed.select("path", F.to_json(F.struct("path", *[F.col(c).alias(c.replace("_", "-")) for _, c in ALL_HASHES], "size")).alias("line"))
+    lines = F.array(*[F.concat(F.rpad(F.lit(label), 11, " "), F.col(c), F.lit("  "), F.col("path").cast("string")) for label, c in ALL_HASHES])
+    return hashed.select("path", F.explode(lines).alias("line"))
+
+
+def device_text(card_reader: Column, usb: Column, media: Column, body_serial: Column, connection: Column) -> Column:
+    """What a device is, in lines: card reader (vendor, model, serial), USB (device_name, vendor_id, product_id, serial), medium
+    (type, manufacturer, serial, capacity in bytes), camera body and connection. What is null or empty is left out."""
+    of = lambda label, c: F.when(c.cast("string") != "", F.concat(F.lit(label), c.cast("string")))
+    within = lambda part, *lines: [F.when(part.isNotNull(), x) for x in lines]
+    word = lambda c: F.coalesce(c.cast("string"), F.lit("undefined"))
+    size = F.when(media["capacity"] > 0, F.concat(F.lit("  Capacity: "), F.format_string("%.1f", media["capacity"].cast("double") / (1 << 30)), F.lit(" GB")))
+    return F.concat_ws(
+        "\n",
+        *within(card_reader, F.concat(F.lit("Card Reader: "), word(card_reader["vendor"]), F.lit(" "), word(card_reader["model"])), of("  Serial: ", card_reader["serial"])),
+        *within(usb, F.concat(F.lit("USB: "), word(usb["device_name"])), F.concat(F.lit("  VID:PID: "), word(usb["vendor_id"]), F.lit(":"), word(usb["product_id"])), of("  Serial: ", usb["serial"])),
+        *within(media, F.concat(F.lit("Media: "), F.upper(F.coalesce(F.nullif(media["type"], F.lit("")), F.lit("unknown")))), of("  Manufacturer: ", media["manufacturer"]), of("  Serial: ", media["serial"]), size),
+        of("Camera Body: ", body_serial), of("Connection: ", connection),
+    )
+
+
 def verify_lines(verified: DataFrame) -> DataFrame:
     return verified.select(F.concat(F.col("path"), F.when(F.col("match"), ": OK").otherwise(": FAILED")).alias("line"))
 
