@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from attestra.functions import filetype, metadata, paths, sql
 from attestra.operators import dedup, gps, graph, manifest, registry, related, validate
 from attestra.sources import documents, sinks
-from attestra.streaming import streams
+from attestra.streaming import stateful, streams
 
 from .catalog import document_files, query, table
 
@@ -443,6 +443,25 @@ def device_text(spark, sf_dir):
     return d.select("i", sinks.device_text(reader, usb, media, i, none).alias("text"))
 
 
+@query(f"SELECT doc_id AS i, {[m for *_, m, _ in filetype.MAGIC]}[CAST(doc_id % {len(filetype.MAGIC)} AS INT) + 1] AS mime, {[e for *_, e in filetype.MAGIC]}[CAST(doc_id % {len(filetype.MAGIC)} AS INT) + 1] AS ext FROM documents")
+def every_magic(spark, sf_dir):
+    """Each document's text behind one of all leading bytes, at their place."""
+    heads = F.array(*[F.lit("00" * at + magic) for at, magic, *_ in filetype.MAGIC])
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.concat(F.unhex(F.element_at(heads, (F.col("doc_id") % len(filetype.MAGIC) + 1).cast("int"))), F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("content"))
+    mime, ext = filetype.magic_mime(F.col("content"))
+    return d.select("i", mime.alias("mime"), ext.alias("ext"))
+
+
+@query(f"""SELECT file, point FROM (SELECT f.event_id AS file, p.event_id AS point, row_number() OVER (PARTITION BY f.event_id ORDER BY abs(epoch_us(p.ts) - epoch_us(f.ts)), p.ts, p.event_id) AS k
+             FROM events f JOIN events p ON p.ts BETWEEN f.ts - {MATCH} AND f.ts + {MATCH} WHERE f.event_type = 'error' AND p.event_type <> 'error') WHERE k = 1""")
+def nearest_match(spark, sf_dir):
+    """The stream's nearest match over the table at rest."""
+    e = table(spark, sf_dir, "events")
+    f = e.where("event_type = 'error'").select(F.col("event_id").alias("file"), F.col("ts").cast("timestamp").alias("file_ts"))
+    p = e.where("event_type <> 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.lit(1.5).alias("latitude"), F.col("event_id").cast("double").alias("longitude"))
+    return stateful.nearest_match(f, p, 5).select("file", F.col("longitude").cast("long").alias("point"))
+
+
 # --- functions by name, schemas ------------------------------------------------------------------------
 
 
