@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.paths import base_name
@@ -37,8 +37,32 @@ def is_nfs(fs_type: Column) -> Column:
     return F.lower(fs_type).isin("nfs", "nfs3", "nfs4")
 
 
-def vendor_lookup(devices: DataFrame, vendors: DataFrame, products: DataFrame) -> DataFrame:
-    """devices (vid, pid) with vendor, category and device, null where unknown."""
+# USB vendors by number, name and category, and products by vendor and number.
+VENDORS = (
+    (1003, "Samsung", "unknown"), (1058, "Kingston", "card_reader"), (1112, "Panasonic", "camera_professional"), (1133, "Nikon", "camera_professional"),
+    (1193, "Canon", "camera_professional"), (1227, "Fujifilm", "camera_prosumer"), (1256, "Samsung", "unknown"), (1265, "JVC", "camera_consumer"), (1266, "Pentax", "camera_prosumer"),
+    (1356, "Sony", "camera_professional"), (1452, "Apple", "phone"), (1921, "SanDisk", "card_reader"), (2316, "Lexar", "card_reader"), (2385, "Transcend", "unknown"),
+    (2996, "GoPro", "camera_action"), (4047, "ProGrade", "unknown"), (4328, "Sigma", "unknown"), (6353, "Google", "phone"), (7086, "RED", "camera_cinema"), (8711, "Olympus", "camera_prosumer"),
+    (8921, "OnePlus", "unknown"), (9191, "Atomos", "external_recorder"), (9817, "Leica", "unknown"), (9987, "ARRI", "camera_cinema"), (10007, "DJI", "drone"), (10239, "Insta360", "camera_action"),
+    (11046, "Blackmagic", "camera_cinema"), (11270, "DJI", "drone"), (11271, "DJI Action", "unknown"),
+)
+PRODUCTS = (
+    (1112, 58113, "Panasonic GH5/GH6"), (1112, 58114, "Panasonic S5/S1H"), (1193, 12818, "Canon EOS R5"), (1193, 12819, "Canon EOS R6"), (1193, 12855, "Canon EOS C70"), (1265, 775, "JVC Everio"),
+    (1265, 776, "JVC GY-HM"), (1356, 2479, "Sony Alpha (MTP)"), (1356, 2551, "Sony A7S III"), (1356, 2557, "Sony FX3/FX6"), (1921, 1665, "SanDisk ImageMate"), (1921, 21889, "SanDisk Extreme Pro"),
+    (2316, 1792, "Lexar Professional"), (2996, 512, "GoPro HERO"), (2996, 513, "GoPro HERO (MTP)"), (10007, 256, "DJI Ronin"), (10007, 3840, "DJI Mavic"), (10007, 3872, "DJI Mini"), (10007, 3904, "DJI Air"),
+)
+
+
+def known_vendors(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(vendors, products) of the fixed tables, for vendor_lookup()."""
+    return spark.createDataFrame(list(VENDORS), "vid long, vendor string, category string"), spark.createDataFrame(list(PRODUCTS), "vid long, pid long, device string")
+
+
+def vendor_lookup(devices: DataFrame, vendors: DataFrame | None = None, products: DataFrame | None = None) -> DataFrame:
+    """devices (vid, pid) with vendor, category and device, null where unknown; by the fixed tables unless others are given."""
+    if vendors is None or products is None:
+        known = known_vendors(devices.sparkSession)
+        vendors, products = (known[0] if vendors is None else vendors), (known[1] if products is None else products)
     return devices.join(vendors.select("vid", "vendor", "category"), "vid", "left").join(products.select("vid", "pid", "device"), ["vid", "pid"], "left")
 
 

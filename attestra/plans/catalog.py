@@ -404,6 +404,19 @@ def longest_prefix(spark, sf_dir):
     return registry.longest_prefix(table(spark, sf_dir, "pages"), mounts, "url")
 
 
+VENDOR_ROWS, PRODUCT_ROWS = (", ".join(map(str, rows)) for rows in (registry.VENDORS, registry.PRODUCTS))
+
+
+@query(f"""WITH d AS (SELECT o_orderkey, [1193, 1356, 1921, 10007, 77, 7086, 1256][CAST(o_orderkey % 7 AS INT) + 1] AS vid, [12818, 2551, 1665, 256, 1, 12818, 2557][CAST(o_orderkey % 7 AS INT) + 1] + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS pid FROM orders)
+           SELECT o_orderkey, vendor, category, device FROM d LEFT JOIN (VALUES {VENDOR_ROWS}) AS v(vid, vendor, category) ON d.vid = v.vid LEFT JOIN (VALUES {PRODUCT_ROWS}) AS p(vid, pid, device) ON d.vid = p.vid AND d.pid = p.pid""")
+def known_vendors(spark, sf_dir):
+    """Orders seen as devices that were plugged in, by the fixed tables of vendors and products."""
+    k = F.col("o_orderkey")
+    at = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % 7 + 1).cast("int")).cast("long")
+    d = table(spark, sf_dir, "orders").select(k, at(1193, 1356, 1921, 10007, 77, 7086, 1256).alias("vid"), (at(12818, 2551, 1665, 256, 1, 12818, 2557) + F.when(k % 3 == 0, 1).otherwise(0)).alias("pid"))
+    return registry.vendor_lookup(d).select("o_orderkey", "vendor", "category", "device")
+
+
 PATHS = r"""f AS (SELECT p_partkey, '/' || lower(p_type) || '/' || replace(p_brand, '#', '_') || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.jpg' AS path,
                     CASE WHEN p_partkey % 3 = 0 THEN lower(split_part(p_name, ' ', 1)) END AS make, CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END) END AS model,
                     CASE WHEN p_partkey % 2 = 0 THEN p_size * 30 END AS width, CASE WHEN p_partkey % 2 = 0 THEN p_size * 20 END AS height FROM part)"""
