@@ -90,8 +90,9 @@ class Ordered:
     def __init__(self, df: DataFrame, keys: list[str], order: list[str]):
         self.keys, self.order = keys, order
         by = [*keys, *order]
-        sorted_rows = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df.coalesce(1)
-        self.rows = cut(sorted_rows.withColumn("_chunk", F.spark_partition_id()))
+        if not order:
+            raise ValueError("rows are ordered by one column at least")
+        self.rows = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_chunk", F.spark_partition_id()))
 
     def scan(self, rows: DataFrame | None = None, **scans: Scan) -> DataFrame:
         """rows (these, or what was derived from them row by row) with a column for each scan."""
