@@ -27,6 +27,9 @@ WINDOW, K = 50, 24
 BLOCK, KEYS, TEXT = 4 << 20, 1_000_000, 5_000_000
 #: Windows that are looked at together, so that they stay in cache.
 STRIDE = 1 << 16
+#: Of a bucket of the second exchange: bytes of text that are sorted together, windows that are, and windows of a cell;
+#: larger cells are cut by a hash of the window.
+TOGETHER, SORTED, CELL = 1 << 19, 1 << 17, 1 << 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
@@ -276,11 +279,12 @@ def words(raw: np.ndarray) -> np.ndarray:
     return w
 
 
-def sorted_cells(raw: np.ndarray, at: np.ndarray, cell: np.ndarray, window: int, hashes: Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
+def sorted_cells(raw: np.ndarray, at: np.ndarray, cell: np.ndarray, window: int, hashes: Hashes | None = None, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, class): suffixes (at), gathered by cell, sorted within cells; those of a class agree in window bytes.
-    The order that hashes gave is held against the bytes of neighbours, and cells in which it is wrong are sorted by bytes."""
+    The order that hashes gave is held against the bytes of neighbours, and cells in which it is wrong are sorted by bytes.
+    w: words(raw), if they are there already."""
     order = merge_sort(hashes or Hashes(raw), at, cell, window)
-    w = words(raw)
+    w = words(raw) if w is None else w
     steps = [*range(0, window - 8, 8), window - 8]
 
     def neighbours(order):
@@ -302,37 +306,66 @@ def sorted_cells(raw: np.ndarray, at: np.ndarray, cell: np.ndarray, window: int,
     return order, np.cumsum(np.r_[False, ~same]) if len(at) else np.zeros(0, np.int64)
 
 
+def batched(group: np.ndarray, weight: np.ndarray, most: int):
+    """(first, end) of stretches of whole groups (sorted) that weigh some `most`, and less than that and one group."""
+    if len(group):
+        edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        before = (np.cumsum(weight) - weight)[edge] // most
+        cuts = [*edge[np.r_[True, before[1:] != before[:-1]]].tolist(), len(group)]
+        yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def repeated(raw: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The windows (their places in raw) of distinct pieces that a piece with a smaller own has too, in order."""
-    h = mixed(rolled(raw.astype(np.uint64) + np.uint64(7), K))
-    low = h[first[:, None] + np.arange(WINDOW - K + 1)].min(axis=1)
+    """The windows (their places in raw) of distinct pieces that a piece with a smaller own has too, in order. Minimisers
+    are taken a few at a time, so that what is held beside raw does not grow with its windows."""
+    runs = [mixed(rolled(raw[a : a + STRIDE + K - 1].astype(np.uint64) + np.uint64(7), K)) for a in range(0, len(raw), STRIDE)]
+    h = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
+    low = np.concatenate([h[first[a : a + STRIDE, None] + np.arange(WINDOW - K + 1)].min(axis=1) for a in range(0, len(first), STRIDE)] or [np.zeros(0, np.uint64)])
     kinds, of, count = np.unique(low, return_inverse=True, return_counts=True)
     smallest, largest = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
     np.minimum.at(smallest, of, own)
     np.maximum.at(largest, of, own)
     p = np.flatnonzero(((count > 1) & (smallest < largest))[of])
-    if not len(p):
-        return np.zeros(0, np.int64)
-    size = n[p] + WINDOW - 1
+    p = p[np.argsort(of[p], kind="stable")]
+    found = [np.zeros(0, np.int64)]
+    for a, z in batched(of[p], n[p] + WINDOW - 1, TOGETHER):
+        q = p[a:z]
+        found += repeated_among(raw, h, low[q], of[q], first[q], n[q], own[q])
+    return np.sort(np.concatenate(found))
+
+
+def repeated_among(raw: np.ndarray, h: np.ndarray, low: np.ndarray, of: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray):
+    """What repeated finds among all pieces of some minimisers (low, numbered by of); h: the hashes of runs of raw."""
+    size = n + WINDOW - 1
     offset = np.cumsum(size) - size
-    where = ranges(first[p], size)  # the text of these pieces alone
-    mark = np.repeat(low[p], size) == np.r_[h, np.zeros(K - 1, np.uint64)][where]
+    where = ranges(first, size)  # the text of these pieces alone
+    mark = np.repeat(low, size) == h[np.minimum(where, len(h) - 1)]
     mark[(offset[:, None] + size[:, None] - np.arange(1, K)).ravel()] = False
     nearest = np.minimum.accumulate(np.where(mark, np.arange(len(mark)), len(mark))[::-1])[::-1]
-    at = ranges(offset, n[p])
-    piece = np.repeat(np.arange(len(p)), n[p])
-    cell = of[p][piece] * WINDOW + nearest[at] - at
+    at = ranges(offset, n)
+    piece = np.repeat(np.arange(len(n)), n)
+    cell = of[piece] * WINDOW + nearest[at] - at
+    del mark, nearest
+    text = raw[where]
+    hashes, w = Hashes(text), words(text)
     by = np.argsort(cell, kind="stable")
-    s = cell[by]
-    several = np.r_[False, s[1:] == s[:-1]]
-    by = by[several | np.r_[several[1:], False]]
     at, piece, cell = at[by], piece[by], cell[by]
-    if not len(at):
-        return at
-    order, kind = sorted_cells(raw[where], at, cell, WINDOW)
-    mine = own[p][piece[order]]
-    least_own = np.minimum.reduceat(mine, np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]))
-    return np.sort(where[at[order[mine > least_own[kind]]]])
+    many = np.bincount(np.cumsum(np.r_[False, cell[1:] != cell[:-1]]))
+    if many.max() > CELL:
+        parts = np.repeat(-(-many // CELL), many)
+        own_hash = mixed((hashes.sums[at + WINDOW] - hashes.sums[at]) * hashes.power[at])  # windows that agree have the same
+        part = (own_hash % parts.astype(np.uint64)).astype(np.int64)
+        by = np.lexsort((part, cell))
+        at, piece, cell, part = at[by], piece[by], cell[by], part[by]
+        cell = np.cumsum(np.r_[False, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+    several = np.r_[False, cell[1:] == cell[:-1]]
+    several |= np.r_[several[1:], False]
+    at, piece, cell = at[several], piece[several], cell[several]
+    for a, z in batched(cell, np.ones(len(cell), np.int64), SORTED):
+        order, kind = sorted_cells(text, at[a:z], cell[a:z], WINDOW, hashes, w)
+        mine = own[piece[a:z][order]]
+        least_own = np.minimum.reduceat(mine, np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]))
+        yield where[at[a:z][order[mine > least_own[kind]]]]
 
 
 def second_exchange(packed: DataFrame) -> DataFrame:

@@ -280,3 +280,42 @@ def test_cells_are_sorted_even_if_hashes_collide(collide):
         assert [cut(i) for i in k] == sorted(cut(i) for i in np.flatnonzero(cell == c))
     same = [cell[a] == cell[b] and cut(a) == cut(b) for a, b in zip(order[:-1], order[1:], strict=True)]
     assert same == (kind[1:] == kind[:-1]).tolist() and any(same)
+
+
+def bucket_of(lines, copies):
+    """Pieces of documents that each have one of some lines of 60 bytes before 20 other bytes: (raw, first, n, own)."""
+    import zstandard
+
+    r = np.random.default_rng(6)
+    m = lines * copies
+    raw = r.integers(97, 123, (m, 80), dtype=np.uint8)
+    raw[:, :60] = np.repeat(raw[:lines, :60], copies, axis=0)
+    raw[5], raw[7, 60:65] = raw[6], raw[8, 60:65]
+    ids = r.permutation(m).astype(np.int64)
+    b = suffixes.Block(ids.tobytes(), np.full(m, 80).tobytes(), zstandard.compress(raw.tobytes())).cut_up()
+    return b.raw, b.at, b.n, ids[b.doc]
+
+
+@pytest.mark.parametrize("lines", [1, 9])
+def test_large_cells_are_cut_and_all_of_their_windows_found(lines, monkeypatch):
+    for name in ("TOGETHER", "SORTED", "CELL"):
+        monkeypatch.setattr(suffixes, name, 64)
+    raw, first, n, own = bucket_of(lines, 150)
+    data, least = raw.tobytes(), {}
+    at = [(a + k, o) for a, m, o in zip(first.tolist(), n.tolist(), own.tolist(), strict=True) for k in range(m)]
+    for a, o in at:
+        least[data[a : a + 50]] = min(o, least.get(data[a : a + 50], o))
+    expected = sorted(a for a, o in at if least[data[a : a + 50]] < o)
+    assert suffixes.repeated(raw, first, n, own).tolist() == expected and len(expected) > lines * 149 * 11
+
+
+def test_a_bucket_of_many_repeated_windows_is_sorted_in_parts():
+    import tracemalloc
+
+    args = bucket_of(60, 200)
+    tracemalloc.start()
+    try:
+        assert len(suffixes.repeated(*args)) > 60 * 199 * 11
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
