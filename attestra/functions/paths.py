@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 def base_name(path: Column) -> Column:
     """The part after the last slash."""
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def directory(path: Column) -> Column:
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    """The part before the last slash; empty if there is none."""
+    return F.substring(path, F.lit(1), F.greatest(F.lit(0), F.length(path) - F.length(base_name(path)) - 1))
 
 
 def extension(path: Column) -> Column:

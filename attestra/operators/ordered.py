@@ -4,12 +4,14 @@ A window over a key is one task however many rows the key has. Here rows are sor
 order, and a partition is a chunk. A function is computed within each key's rows of a chunk; what such a part hands on
 to the parts after (or before) it is one row; a window over these rows tells what each part is handed, and both are
 combined. Only keys that lie in several chunks are handed anything: at most two of these rows a chunk, which are broadcast.
+Such a key is that of a chunk's first or last row, so only these keys' rows are gone over for what they hand on.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass
 from functools import reduce
 
@@ -80,19 +82,37 @@ def whole(f: Callable[[Column], Column], c: Column, again: Callable[[str], Colum
 def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner", small: bool = False) -> DataFrame:
     """left and right joined where they agree in names, nulls agreeing with nulls; small: right has a proven bound and is broadcast."""
     right = right.withColumnsRenamed({n: f"_on{i}" for i, n in enumerate(names)})
-    on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_on{i}")) for i, n in enumerate(names)])
+    on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_on{i}")) for i, n in enumerate(names)] or [F.lit(True)])
     return left.join(F.broadcast(right) if small else right, on, how).drop(*[f"_on{i}" for i in range(len(names))])
 
 
 class Ordered:
-    """rows of df with their chunk, by keys and order (names of columns). Rows that agree in all of these lie in one chunk."""
+    """rows of df with their chunk, by keys and order (names of columns). Rows that agree in all of these lie in one chunk.
+    shared: the keys that lie in several chunks, fewer than there are chunks."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str]):
         self.keys, self.order = keys, order
         by = [*keys, *order]
         if not order:
             raise ValueError("rows are ordered by one column at least")
-        self.rows = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_chunk", F.spark_partition_id()))
+        rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_chunk", F.spark_partition_id())
+        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+        ends = rows.groupBy("_chunk").agg(F.min("_row").alias("a"), F.max("_row").alias("z"))
+        ends = ends.select(F.explode(F.array_distinct(F.array("a", "z"))).alias("_row"))
+        self.shared = cut(rows.join(F.broadcast(ends), "_row").groupBy(*keys).agg(F.count_distinct("_chunk").alias("_n")).where("_n > 1"))
+        self.rows = rows.drop("_row")
+
+    def apart(self) -> tuple[DataFrame, Ordered]:
+        """(rows of the keys that lie in one chunk, the rows of the others): of the former, each chunk knows all."""
+        others = copy(self)
+        others.rows = join_same(self.rows, self.shared, self.keys, "left_semi", small=True)
+        return join_same(self.rows, self.shared, self.keys, "left_anti", small=True), others
+
+    def within(self, rows: DataFrame, **scans: Scan) -> DataFrame:
+        """What scan gives, for rows of keys that lie in one chunk."""
+        up = Window.partitionBy(*self.keys, "_chunk").orderBy(*self.order)
+        down = Window.partitionBy(*self.keys, "_chunk").orderBy(*[F.desc(c) for c in self.order])
+        return rows.select("*", *[s.local(up, down).alias(n) for n, s in scans.items()])
 
     def scan(self, rows: DataFrame | None = None, **scans: Scan) -> DataFrame:
         """rows (these, or what was derived from them row by row) with a column for each scan."""
@@ -101,7 +121,7 @@ class Ordered:
         up = Window.partitionBy(*self.keys, "_chunk").orderBy(*self.order)
         down = Window.partitionBy(*self.keys, "_chunk").orderBy(*[F.desc(c) for c in self.order])
         here = rows.select("*", *[s.local(up, down).alias(f"_l_{n}") for n, s in scans.items()])
-        parts = rows.groupBy(*self.keys, "_chunk").agg(*[s.hands_on(o).alias(f"_h_{n}") for n, s in scans.items()])
+        parts = join_same(rows, self.shared, self.keys, "left_semi", small=True).groupBy(*self.keys, "_chunk").agg(*[s.hands_on(o).alias(f"_h_{n}") for n, s in scans.items()])
         up, down = Window.partitionBy(*self.keys).orderBy("_chunk"), Window.partitionBy(*self.keys).orderBy(F.desc("_chunk"))
         handed = parts.withColumn("_parts", F.count("*").over(Window.partitionBy(*self.keys))).where("_parts > 1")
         handed = handed.select(*self.keys, "_chunk", *[s.handed(f"_h_{n}", up, down).alias(f"_g_{n}") for n, s in scans.items()])

@@ -55,18 +55,24 @@ def sequences(rows: DataFrame, key: list[str], seq: str, member: str, most_gap:
     """rows of those keys that have at least `least` rows and no gap of seq above most_gap, with
     first (the member that opens the sequence) and place (from 0); one gap rejects the whole key."""
     line = Ordered(rows, key, list(dict.fromkeys([seq, member])))
-    d = line.scan(_before=row_before(F.col(seq)), place=row_number(), first=whole(F.min, F.struct(seq, F.col(member).alias("_first"))), _n=whole(F.count, F.lit(1), F.sum))
-    d = line.scan(d.withColumn("_gap", F.col(seq) - F.col("_before.v")), _most=whole(F.max, F.col("_gap")))
+    inner, others = line.apart()
+    before = {"_before": row_before(F.col(seq)), "place": row_number(), "first": whole(F.min, F.struct(seq, F.col(member).alias("_first"))), "_n": whole(F.count, F.lit(1), F.sum)}
+    most = {"_most": whole(F.max, F.col("_gap"))}
+    gap = lambda d: d.withColumn("_gap", F.col(seq) - F.col("_before.v"))
+    d = line.within(gap(line.within(inner, **before)), **most).unionByName(others.scan(gap(others.scan(**before)), **most))
     d = d.where((F.col("_n") >= least) & (F.col("_most") <= most_gap)).withColumn("place", F.col("place") - 1).withColumn("first", F.col("first._first"))
     return d.drop("_before", "_n", "_gap", "_most", "_chunk")
 
 
 def bursts(files: DataFrame) -> DataFrame:
     """Numbered names of one prefix and extension in one folder: name_N, else name(N)."""
-    under, paren = r"^(.+)_(\d+)(\.[^.]+)$", r"^(.+)\((\d+)\)(\.[^.]+)$"
-    part = lambda i: F.when(F.col("base").rlike(under), F.regexp_extract("base", under, i)).when(F.col("base").rlike(paren), F.regexp_extract("base", paren, i))
-    prefix = F.when(F.col("base").rlike(under), "").when(F.col("base").rlike(paren), "paren:")
-    rows = files.withColumn("key", F.concat(prefix, part(1), part(3))).withColumn("no", part(2).cast("decimal(38,0)")).where("key is not null")
+    under, paren = r"^.+_(\d+)\.[^.]+$", r"^.+\((\d+)\)\.[^.]+$"
+    rows = files.withColumn("_u", F.regexp_extract("base", under, 1))  # each pattern once a name; the rest by lengths
+    rows = rows.withColumn("_d", F.when(F.col("_u") != "", F.col("_u")).otherwise(F.regexp_extract("base", paren, 1))).where("_d <> ''")
+    tail = F.length(F.substring_index("base", ".", -1)) + 1
+    name = F.substring("base", F.lit(1), F.length("base") - tail - F.length("_d") - F.when(F.col("_u") != "", 1).otherwise(2))
+    key = F.concat(F.when(F.col("_u") != "", "").otherwise("paren:"), name, F.right("base", tail))
+    rows = rows.select("path", "dir", key.alias("key"), F.col("_d").cast("decimal(38,0)").alias("no"))
     s = sequences(rows, ["dir", "key"], "no", "path")
     return s.select(F.lit(KINDS[3]).alias("type"), F.concat(F.lit(KINDS[3] + ":"), F.col("first")).alias("group_id"), F.col("first").alias("primary"), F.col("path").alias("member"), F.col("place").alias("seq"))
 

@@ -630,7 +630,8 @@ SHOTS = "s AS (SELECT l_orderkey AS o, l_linenumber AS n, '/d' || l_orderkey ||
 @query(f"""WITH {SHOTS}, g AS (SELECT o, n, path, n - lag(n) OVER (PARTITION BY o ORDER BY n) AS gap FROM s), k AS (SELECT o FROM g GROUP BY 1 HAVING count(*) >= 3 AND max(gap) <= 2)
            SELECT 'burst_sequence' AS type, first_value(path) OVER (PARTITION BY o ORDER BY n) AS "primary", path AS member, CAST(row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS INT) AS seq FROM s WHERE o IN (SELECT o FROM k)""")
 def related_bursts(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("/d"), "l_orderkey", F.lit("/S_"), "l_linenumber", F.lit(".jpg")).alias("path")).distinct()
+    s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    s = s.select(F.concat(F.lit("/d"), "l_orderkey", F.lit("/S_"), "l_linenumber", F.lit(".jpg")).alias("path"))
     return related.bursts(related.parsed(s)).drop("group_id")
 
 

@@ -135,3 +135,28 @@ def test_covering_intervals_are_not_copied(chunks):
     got = {r["point"]: r["interval"] for r in ordered.first_cover(points, spans, ["u"]).collect()}
     assert got == {f"p{i}": "short" if i in (700, 701) else "middle" if 500 <= i <= 1500 else "long" for i in range(2000)}
     assert ordered.first_cover(points, spans.limit(0), ["u"]).count() == 0
+
+
+def test_keys_of_several_chunks_are_told_apart(chunks):
+    rows = hot() + [(k, t, 0, 0.0) for k in range(10, 300) for t in range(3)]
+    line = ordered.Ordered(chunks.createDataFrame(rows, "k int, t int, i int, v double"), ["k"], ["t", "i"])
+    where = {}
+    for r in line.rows.collect():
+        where.setdefault(r["k"], set()).add(r["_chunk"])
+    several = {k for k, c in where.items() if len(c) > 1}
+    assert {r["k"] for r in line.shared.collect()} == several and 1 in several
+    inner, others = line.apart()
+    assert {r["k"] for r in inner.select("k").distinct().collect()} == set(where) - several
+    assert inner.count() + others.rows.count() == len(rows)
+    scans = {"n": ordered.row_number(), "before": ordered.row_before(F.col("v"))}
+    got = line.within(inner, **scans).unionByName(others.scan(**scans))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, line.scan(**scans).collect()))
+
+
+def test_bursts_of_odd_names(chunks):
+    paths = [f"/d/{n}" for n in ("a_1.jpg", "a_02.jpg", "a_3.jpg", "b(1).x", "b(2).x", "b(4).x", "c_1_1.j", "c_1_2.j", "c_1_3.j", "_1.q", "_2.q", "_3.q", "e.e_1.p", "e.e_2.p", "e.e_3.p", "x_1.", "x_2.", "x_3.", "日_1.é", "日_2.é", "日_3.é", "z_1(1).k", "z_1(2).k", "z_1(3).k")]
+    got = related.bursts(related.parsed(chunks.createDataFrame([(p,) for p in paths], "path string"))).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["primary"], []).append((r["seq"], r["member"]))
+    assert {k: [m for _, m in sorted(v)] for k, v in groups.items()} == {paths[k]: paths[k : k + 3] for k in (0, 3, 6, 12, 18, 21)}
