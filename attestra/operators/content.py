@@ -90,7 +90,8 @@ def tree_digests(parts: DataFrame, key: str, part: int = PART) -> DataFrame:
     checked(part)
 
     def run(batches):
-        for b in batches:
+        few = max(1, TOGETHER // part)  # a batch may hold very many parts
+        for b in (batch.slice(k, few) for batch in batches for k in range(0, batch.num_rows, few)):
             cvs = nodes_of(*(b.column(c).to_pylist() for c in ("size", "part", "bytes")), part)
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("size"), b.column("part"), pa.array(cvs, pa.binary())], ["k", "size", "part", "cv"])
 

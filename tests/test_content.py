@@ -100,3 +100,19 @@ def test_memory_of_a_running_digest_does_not_follow_the_size():
         h.update(piece)
         assert len(h.waiting) <= (1 << 16)
     assert len(h.nodes) == 40 * 4 - 1 and len(h.hexdigest()) == 64
+
+
+def test_parts_of_a_large_batch_are_hashed_a_few_at_a_time(spark, monkeypatch):
+    seen, nodes_of = spark.sparkContext.accumulator(0), content.nodes_of
+
+    def counted(sizes, numbers, data, part):
+        seen.add(len(data) > 4)
+        return nodes_of(sizes, numbers, data, part)
+
+    monkeypatch.setattr(content, "TOGETHER", 4096)
+    monkeypatch.setattr(content, "nodes_of", counted)
+    text = "".join(map(str, range(6000)))
+    d = spark.createDataFrame([(1, text), (2, "x"), (3, "")], "k int, t string").coalesce(1)
+    got = {r["k"]: r["blake3"] for r in content.tree_digests(content.parts_of(d, "k", "t", 1024), "k", 1024).collect()}
+    assert got == {k: hashing.blake3_digests([t.encode()])[0] for k, t in ((1, text), (2, "x"), (3, ""))}
+    assert seen.value == 0
