@@ -53,6 +53,13 @@ def unpack(z: bytes, *kinds: tuple) -> list[np.ndarray]:
     return out
 
 
+def one_by_one(batches):
+    """The rows of Arrow batches. A batch may hold many blocks, so each is taken out of it alone."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield from b.slice(k, 1).to_pylist()
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """(block, n, tokens, kinds, docs, seq, words) from (id, text, held): packed ids, folds and lengths of
     n texts, their tokens as numbers of the block's words, and these with their counts in training texts."""
@@ -105,14 +112,14 @@ def vocabularies(blocks: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
-        for b in batches:
-            for block, k, z in zip(*(b.column(c).to_pylist() for c in ("block", "kinds", "words")), strict=True):
-                raw = zstandard.ZstdDecompressor().decompress(z)
-                words = pa.array(raw[8 * k :].decode().split("\n"), pa.string())
-                counts = pa.array(np.frombuffer(raw, np.int64, k))
-                whole = pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(k)), words, counts], ["block", "i", "word", "c"])
-                for a in range(0, k, 50_000):
-                    yield whole.slice(a, 50_000)
+        for row in one_by_one(batches):
+            block, k = row["block"], row["kinds"]
+            raw = zstandard.ZstdDecompressor().decompress(row["words"])
+            words = pa.array(raw[8 * k :].decode().split("\n"), pa.string())
+            counts = pa.array(np.frombuffer(raw, np.int64, k))
+            whole = pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(k)), words, counts], ["block", "i", "word", "c"])
+            for a in range(0, k, 50_000):
+                yield whole.slice(a, 50_000)
 
     return blocks.select("block", "kinds", "words").mapInArrow(run, "block long, i long, word string, c long")
 
@@ -279,10 +286,6 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, fold: int
         (seq,) = unpack(row["seq"], (np.uint16, tokens))
         return ids, away, lens, seq
 
-    def rows_of(batches):
-        for b in batches:
-            yield from b.to_pylist()
-
     # Of many blocks some are drawn by the hash of their ids, so that the driver gets some FIRST stretches, however many there are.
     blocks_left = coded.count()
     drawn = coded.where(F.pmod(F.xxhash64("docs"), F.lit(SPAN)) < int(SPAN * min(1.0, FIRST / max(1, blocks_left))))
@@ -293,7 +296,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, fold: int
         return seq[np.repeat(~away, lens)], lens[~away]
 
     def some(batches):
-        for row in rows_of(batches):
+        for row in one_by_one(batches):
             found = stretches(*learned(row), each)
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.uint16).tobytes() for x in found], pa.binary())], ["x"])
 
@@ -308,7 +311,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, fold: int
 
         def step(batches, model=model):
             start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(freq), states))
-            for row in rows_of(batches):
+            for row in one_by_one(batches):
                 for part, more in zip((start, move, emit), model.expected(*learned(row)), strict=True):
                     part += more
             all_rows = np.vstack([emit, start[None], move])
@@ -321,7 +324,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, fold: int
         model = Model.of_counts(summed[len(freq)], summed[len(freq) + 1 :], summed[: len(freq)], freq)
 
     def final(batches):
-        for row in rows_of(batches):
+        for row in one_by_one(batches):
             ids, away, lens, seq = texts(row)
             known, base, inside = unpack(row["sums"], *[(np.float64, len(ids))] * 3)
             cols = (ids, away, lens.astype(np.int64), known.astype(np.int64), base, model.log10(seq, lens) + inside)

@@ -549,3 +549,20 @@ def test_encoder_equals_the_tokenizer():
     every = ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x250, 64)] + [f"a{chr(c)}1 {chr(c)}{chr(c)}b" for c in range(0x250)]
     long = ["x" * 200_000 + " a b", " " * 5000 + "\n" * 5000, " ".join("é" * (k % 90) for k in range(20_000))]
     assert ids_of(every + long) == [tok.encode(t, add_special_tokens=False).ids for t in every + long]
+
+
+def test_blocks_are_taken_out_of_a_batch_one_at_a_time():
+    from attestra.llm import hmm
+
+    class Batch:
+        def __init__(self, rows):
+            self.rows, self.num_rows = rows, len(rows)
+
+        def slice(self, a, n):
+            return Batch(self.rows[a : a + n])
+
+        def to_pylist(self):
+            assert len(self.rows) < 2
+            return self.rows
+
+    assert list(hmm.one_by_one([Batch([1, 2, 3]), Batch([]), Batch([4])])) == [1, 2, 3, 4]
