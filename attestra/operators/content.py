@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
-from attestra.functions.hashing import CHUNK, REGION, SAMPLED_FROM, blake3_joined, blake3_nodes
+from attestra.functions.hashing import CHUNK, REGION, SAMPLED_FROM, _batched, blake3_digests, blake3_joined, blake3_nodes
 
 from .graph import cut
 
@@ -100,6 +100,17 @@ def tree_digests(parts: DataFrame, key: str, part: int = PART) -> DataFrame:
     return joined_up(cut(nodes), "k", part).withColumnRenamed("k", key)
 
 
+def whole_digests(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, whole): the 64-digit BLAKE3 digest of a column of text (its UTF-8) or bytes, a thousand rows of a batch at a time."""
+
+    def run(batches):
+        for b in (batch.slice(k, 1000) for batch in batches for k in range(0, batch.num_rows, 1000)):
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(_batched(b.column("c").to_pylist(), blake3_digests), pa.string())], ["k", "whole"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInArrow(run, f"k {kind}, whole string").withColumnRenamed("k", key)
+
+
 # --- files -----------------------------------------------------------------------------------------
 
 

@@ -115,7 +115,7 @@ def content_in_parts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     parts = content.parts_of(d, "doc_id", "text", 2048)
     joined = parts.groupBy("doc_id").agg(F.max("size").alias("size"), F.count("*").alias("parts"), F.array_sort(F.collect_list(F.struct("part", F.hex("bytes").alias("x")))).alias("xs"))
-    whole = d.select("doc_id", hashing.blake3_full(F.col("text")).alias("whole"))
+    whole = content.whole_digests(d, "doc_id", "text")
     j = joined.join(content.tree_digests(parts, "doc_id", 2048), "doc_id").join(whole, "doc_id")
     md5 = F.md5(F.unhex(F.array_join(F.transform("xs", lambda x: x["x"]), "")))
     return j.select("doc_id", "size", "parts", md5.alias("md5"), (F.col("blake3") == F.col("whole")).alias("agrees"))

@@ -116,3 +116,11 @@ def test_parts_of_a_large_batch_are_hashed_a_few_at_a_time(spark, monkeypatch):
     got = {r["k"]: r["blake3"] for r in content.tree_digests(content.parts_of(d, "k", "t", 1024), "k", 1024).collect()}
     assert got == {k: hashing.blake3_digests([t.encode()])[0] for k, t in ((1, text), (2, "x"), (3, ""))}
     assert seen.value == 0
+
+
+def test_whole_digests_are_those_of_the_column(spark):
+    rows = [(k, "é" * k if k % 7 else None) for k in range(1, 2300, 2)]
+    d = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+    got = {r["k"]: r["whole"] for r in content.whole_digests(d, "k", "t").collect()}
+    expected = hashing.blake3_digests([(t or "").encode() for _, t in rows])
+    assert got == {k: None if t is None else x for (k, t), x in zip(rows, expected, strict=True)}
