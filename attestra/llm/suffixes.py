@@ -121,6 +121,17 @@ def spread(bucket: np.ndarray):
     return zip(bucket[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
+def in_several(each: list[np.ndarray]) -> list[np.ndarray]:
+    """For each key (32 bits) of some arrays, whether it is there again, in any of them: one sort of all, however many arrays there are."""
+    every = np.concatenate(each).astype(np.uint64) << np.uint64(32) | np.arange(sum(map(len, each)), dtype=np.uint64)
+    every.sort()
+    again = np.flatnonzero(every[1:] >> np.uint64(32) == every[:-1] >> np.uint64(32))
+    at = (every & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    found = np.zeros(len(every), bool)
+    found[at[again]] = found[at[again + 1]] = True
+    return np.split(found, np.cumsum([len(x) for x in each])[:-1])
+
+
 def first_exchange(blocks: DataFrame, buckets: int) -> DataFrame:
     """(block, bucket, shared, n): for the distinct minimisers of a block in a bucket, in order, a bit that tells whether
     other blocks have it too; n of them have. Two minimisers that share a key count as one, which only sends more pieces on."""
@@ -135,10 +146,7 @@ def first_exchange(blocks: DataFrame, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 5000], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "keys"])
 
     def count(t: pa.Table) -> pa.Table:
-        each = [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
-        every = np.sort(np.concatenate(each))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        found = [np.isin(x, twice) for x in each]
+        found = in_several([np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()])
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "shared": pa.array([np.packbits(x).tobytes() for x in found], pa.binary()), "n": pa.array([int(x.sum()) for x in found], pa.int64())})
 
     return cut(blocks.mapInArrow(send, "bucket long, block long, keys binary").groupBy("bucket").applyInArrow(count, "block long, bucket long, shared binary, n long"))

@@ -282,6 +282,24 @@ def test_cells_are_sorted_even_if_hashes_collide(collide):
     assert same == (kind[1:] == kind[:-1]).tolist() and any(same)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 1000])
+def test_keys_are_counted_in_the_same_time_however_many_blocks_have_them(parts):
+    import time
+
+    r = np.random.default_rng(8)
+    keys = r.integers(0, 1 << 32, 150_000, dtype=np.uint32)
+    keys[:3] = 0, 1, (1 << 32) - 1
+    every = r.permutation(np.r_[keys, keys[:50_000], keys[:3]])
+    each = [np.zeros(0, np.uint32), *np.array_split(every, parts)]
+    start = time.process_time()
+    found = suffixes.in_several(each)
+    assert time.process_time() - start < 2  # looked up block by block in all that several have, 1,000 took 12 s
+    kinds, of, count = np.unique(every, return_inverse=True, return_counts=True)
+    assert [len(x) for x in found] == [len(x) for x in each]
+    assert (np.concatenate(found) == (count > 1)[of]).all() and 50_000 <= (count > 1).sum() < 60_000
+    assert [x.tolist() for x in suffixes.in_several([each[0], each[0]])] == [[], []]
+
+
 def bucket_of(lines, copies):
     """Pieces of documents that each have one of some lines of 60 bytes before 20 other bytes: (raw, first, n, own)."""
     import zstandard
