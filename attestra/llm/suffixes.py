@@ -28,8 +28,8 @@ BLOCK, KEYS, TEXT = 4 << 20, 1_000_000, 5_000_000
 #: Windows that are looked at together, so that they stay in cache.
 STRIDE = 1 << 16
 #: Of a bucket of the second exchange: bytes of text that are sorted together, windows that are, and windows of a cell;
-#: larger cells are cut by a hash of the window.
-TOGETHER, SORTED, CELL = 1 << 19, 1 << 17, 1 << 10
+#: larger cells are cut by a hash of the window. Copies of a window in one cell beyond which they are sorted as one.
+TOGETHER, SORTED, CELL, COPIES = 1 << 19, 1 << 17, 1 << 10, 1 << 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
@@ -215,6 +215,10 @@ class Hashes:
         falling = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n - 1, 0), UNBASE)])
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[raw] * falling[:n])])
 
+    def whole(self, i: np.ndarray) -> np.ndarray:
+        """A hash of the windows at i; those that agree have the same."""
+        return mixed((self.sums[i + WINDOW] - self.sums[i]) * self.power[i])
+
     def agree(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
         """How many bytes, up to most, the suffixes at i and at j have in common: all of them if one probe says so, else
         by binary search over lengths."""
@@ -232,47 +236,56 @@ class Hashes:
         out[k] = far
         return out
 
-    def before(self, i: np.ndarray, j: np.ndarray, most: int, ties: np.ndarray) -> np.ndarray:
-        """Whether the suffix at i comes before that at j, in their first most bytes; ties, where they agree."""
+    def before(self, i: np.ndarray, j: np.ndarray, most: int, w: np.ndarray) -> np.ndarray:
+        """Whether the suffix at i comes before that at j, in their first most bytes. w: words(raw), whose first look-up tells
+        many apart."""
+        x, y = w[i], w[j]
+        out = x < y
+        k = np.flatnonzero(x == y)
+        i, j = i[k], j[k]
         far = self.agree(i, j, most)
-        whole = far == most
-        far = np.where(whole, 0, far)
-        return np.where(whole, ties, self.raw[i + far] < self.raw[j + far])
+        apart = far < most
+        far[~apart] = 0
+        out[k] = apart & (self.raw[i + far] < self.raw[j + far])
+        return out
 
 
-def merge_sort(hashes: Hashes, at: np.ndarray, cell: np.ndarray, most: int) -> np.ndarray:
-    """An order of suffixes (at), already gathered by cell, that sorts each cell by the first most bytes.
+def merge_sort(hashes: Hashes, at: np.ndarray, cell: np.ndarray, most: int, w: np.ndarray) -> np.ndarray:
+    """An order of suffixes (at), already gathered by cell, that sorts each cell by the first most bytes; those that agree
+    keep their order. w: words of the text.
 
-    Runs of doubling width are merged in all cells at once: a suffix's place is its place in its run and the
-    number of suffixes of the run beside it that come first, found by binary search.
+    Runs of doubling width are merged in all cells at once: a suffix of the left run goes behind the suffixes of the right
+    one that come first, whose number is found by binary search; those of the right take the places that are left.
     """
     n = len(at)
     order = np.arange(n)
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
-    start, size = np.repeat(first, size), np.repeat(size, size)
+    within, end, size = np.arange(n) - np.repeat(first, size), np.repeat(first + size, size), np.repeat(size, size)
     width = 1
     while n and width < size.max():
         k = np.flatnonzero(size > width)
-        r = k - start[k]
-        run = r // width * width
-        left = (r // width) % 2 == 0
-        other = np.where(left, run + width, run - width)
-        lo = np.minimum(other, size[k])
-        hi = np.minimum(other + width, size[k])
-        floor = lo.copy()
+        left = within[k] & width == 0
+        a = k[left]
+        lo = np.minimum(a - (within[a] & (width - 1)) + width, end[a])
+        hi = np.minimum(lo + width, end[a])
+        right, sorted_at = lo.copy(), at[order]
+        mine = sorted_at[a]
         todo = np.flatnonzero(lo < hi)
         while len(todo):
-            mid = (lo[todo] + hi[todo]) // 2
-            kk = k[todo]
-            mine, theirs = at[order[kk]], at[order[start[kk] + mid]]
-            up = hashes.before(theirs, mine, most, ~left[todo])  # what agrees keeps its order
-            lo[todo] = np.where(up, mid + 1, lo[todo])
-            hi[todo] = np.where(up, hi[todo], mid)
-            todo = todo[lo[todo] < hi[todo]]
-        place = start[k] + np.minimum(run, other) + (r - run) + (lo - floor)
+            bottom, top = lo[todo], hi[todo]
+            mid = (bottom + top) // 2
+            up = hashes.before(sorted_at[mid], mine[todo], most, w)
+            lo[todo] = bottom = np.where(up, mid + 1, bottom)
+            hi[todo] = top = np.where(up, top, mid)
+            todo = todo[bottom < top]
+        count = np.arange(len(a))
+        place = np.maximum.accumulate(a + (lo - right) - count) + count  # one place each, whatever hashes say
+        free = np.ones(n, bool)
+        free[place] = False
         placed = order.copy()
-        placed[place] = order[k]
+        placed[place] = order[a]
+        placed[k[free[k]]] = order[k[~left]]
         order = placed
         width *= 2
     return order
@@ -291,8 +304,8 @@ def sorted_cells(raw: np.ndarray, at: np.ndarray, cell: np.ndarray, window: int,
     """(order, class): suffixes (at), gathered by cell, sorted within cells; those of a class agree in window bytes.
     The order that hashes gave is held against the bytes of neighbours, and cells in which it is wrong are sorted by bytes.
     w: words(raw), if they are there already."""
-    order = merge_sort(hashes or Hashes(raw), at, cell, window)
     w = words(raw) if w is None else w
+    order = merge_sort(hashes or Hashes(raw), at, cell, window, w)
     steps = [*range(0, window - 8, 8), window - 8]
 
     def neighbours(order):
@@ -338,11 +351,31 @@ def repeated(raw: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray)
     found = [np.zeros(0, np.int64)]
     for a, z in batched(of[p], n[p] + WINDOW - 1, TOGETHER):
         q = p[a:z]
-        found += repeated_among(raw, h, low[q], of[q], first[q], n[q], own[q])
+        found.append(repeated_among(raw, h, low[q], of[q], first[q], n[q], own[q]))
     return np.sort(np.concatenate(found))
 
 
-def repeated_among(raw: np.ndarray, h: np.ndarray, low: np.ndarray, of: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray):
+def leads(hashes: Hashes, w: np.ndarray, at: np.ndarray, cell: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For windows (at) gathered by cell, the number of the one each is sorted as: itself, or of more than COPIES windows whose
+    hashes and bytes agree the one of smallest own."""
+    lead = np.arange(len(at))
+    many = np.diff(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True]))
+    k = np.flatnonzero(np.repeat(many > COPIES, many))
+    if len(k):
+        whole = hashes.whole(at[k])
+        by = np.lexsort((own[k], whole))
+        k, whole = k[by], whole[by]
+        edge = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+        size = np.diff(np.r_[edge, len(k)])
+        first, k = np.repeat(k[edge], size)[np.repeat(size > COPIES, size)], k[np.repeat(size > COPIES, size)]
+        same = np.ones(len(k), bool)
+        for s in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+            same &= w[at[k] + s] == w[at[first] + s]
+        lead[k[same]] = first[same]
+    return lead
+
+
+def repeated_among(raw: np.ndarray, h: np.ndarray, low: np.ndarray, of: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
     """What repeated finds among all pieces of some minimisers (low, numbered by of); h: the hashes of runs of raw."""
     size = n + WINDOW - 1
     offset = np.cumsum(size) - size
@@ -357,23 +390,30 @@ def repeated_among(raw: np.ndarray, h: np.ndarray, low: np.ndarray, of: np.ndarr
     text = raw[where]
     hashes, w = Hashes(text), words(text)
     by = np.argsort(cell, kind="stable")
-    at, piece, cell = at[by], piece[by], cell[by]
+    at, cell, own = at[by], cell[by], own[piece[by]]
+    del piece
+    lead = leads(hashes, w, at, cell, own)
+    alone = lead == np.arange(len(at))
+    copies, later, lead = at[~alone], (own > own[lead])[~alone], at[lead[~alone]]
+    at, cell, own = at[alone], cell[alone], own[alone]
     many = np.bincount(np.cumsum(np.r_[False, cell[1:] != cell[:-1]]))
     if many.max() > CELL:
         parts = np.repeat(-(-many // CELL), many)
-        own_hash = mixed((hashes.sums[at + WINDOW] - hashes.sums[at]) * hashes.power[at])  # windows that agree have the same
-        part = (own_hash % parts.astype(np.uint64)).astype(np.int64)
+        part = (hashes.whole(at) % parts.astype(np.uint64)).astype(np.int64)
         by = np.lexsort((part, cell))
-        at, piece, cell, part = at[by], piece[by], cell[by], part[by]
+        at, own, cell, part = at[by], own[by], cell[by], part[by]
         cell = np.cumsum(np.r_[False, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
     several = np.r_[False, cell[1:] == cell[:-1]]
     several |= np.r_[several[1:], False]
-    at, piece, cell = at[several], piece[several], cell[several]
+    at, own, cell = at[several], own[several], cell[several]
+    gone = np.zeros(len(text), bool)
     for a, z in batched(cell, np.ones(len(cell), np.int64), SORTED):
         order, kind = sorted_cells(text, at[a:z], cell[a:z], WINDOW, hashes, w)
-        mine = own[piece[a:z][order]]
+        mine = own[a:z][order]
         least_own = np.minimum.reduceat(mine, np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]))
-        yield where[at[a:z][order[mine > least_own[kind]]]]
+        gone[at[a:z][order[mine > least_own[kind]]]] = True
+    gone[copies] = later | gone[lead]
+    return where[gone]
 
 
 def second_exchange(packed: DataFrame) -> DataFrame:

@@ -327,6 +327,44 @@ def test_large_cells_are_cut_and_all_of_their_windows_found(lines, monkeypatch):
     assert suffixes.repeated(raw, first, n, own).tolist() == expected and len(expected) > lines * 149 * 11
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_copies_that_are_sorted_as_one_are_all_found(collide, monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(suffixes, "COPIES", 3)
+    monkeypatch.setattr(suffixes, "CELL", 16)
+    if collide:
+        monkeypatch.setattr(suffixes.Hashes, "whole", lambda self, i: np.zeros(len(i), np.uint64))
+    r = np.random.default_rng(9)
+    line, other = (r.integers(97, 123, 64, dtype=np.uint8).tobytes() for _ in range(2))
+    noise = lambda n: r.integers(97, 123, n, dtype=np.uint8).tobytes()
+    texts = [line * k for k in (1, 2, 9)] * 4 + [line * 8 + noise(30) for _ in range(9)] + [noise(9) + line + other * 5 + noise(70) for _ in range(9)]
+    ids = r.permutation(len(texts)).astype(np.int64)
+    sizes = np.array([len(x) for x in texts], np.int64)
+    b = suffixes.Block(ids.tobytes(), sizes.tobytes(), zstandard.compress(b"".join(texts))).cut_up()
+    own, data, least = ids[b.doc], b.raw.tobytes(), {}
+    at = [(a + k, o) for a, m, o in zip(b.at.tolist(), b.n.tolist(), own.tolist(), strict=True) for k in range(m)]
+    for a, o in at:
+        least[data[a : a + 50]] = min(o, least.get(data[a : a + 50], o))
+    expected = sorted(a for a, o in at if least[data[a : a + 50]] < o)
+    assert suffixes.repeated(b.raw, b.at, b.n, own).tolist() == expected and len(expected) > 5000
+
+
+def test_very_many_copies_of_a_window_are_sorted_as_one(monkeypatch):
+    args = bucket_of(1, 3000)
+    line = args[0][:60].tobytes()
+    sort, seen = suffixes.sorted_cells, []
+
+    def sorted_cells(raw, at, *more):
+        data = raw.tobytes()
+        seen.extend(a for a in at.tolist() if data[a : a + 50] in line)
+        return sort(raw, at, *more)
+
+    monkeypatch.setattr(suffixes, "sorted_cells", sorted_cells)
+    assert len(suffixes.repeated(*args)) > 2999 * 11
+    assert len(seen) < 50
+
+
 def test_a_bucket_of_many_repeated_windows_is_sorted_in_parts():
     import tracemalloc
 
