@@ -1,14 +1,15 @@
 """Exact substring dedup by hash-compared suffix sorting.
 
 Which suffixes of the corpus share their first 50 bytes is told by sorting them. Suffixes are compared by
-polynomial prefix hashes: a binary search over the length finds how far two agree, so that a comparison
-takes some six probes, and mergesort orders them; neighbours are then compared byte by byte, and where these tell
+polynomial prefix hashes: where their first eight bytes agree, a binary search over the length finds how far two do, so
+that a comparison takes some six probes, and mergesort orders them; neighbours are then compared byte by byte, and where these tell
 that hashes collided, the suffixes concerned are sorted by their bytes.
 
 To sort in parallel, suffixes are dealt by the minimiser of their first 50 bytes (the least hash of the runs of K
 bytes in them), on which suffixes that agree must agree, as on the distance to it: those alike in both are a cell, and only
-cells are sorted. Suffixes that start in turn and share a minimiser travel as one piece of text. Most minimisers occur in
-one document; a first exchange, of four bytes a piece, finds those that occur in several, and only their pieces travel.
+cells are sorted; of very many copies of a window only one is. Suffixes that start in turn and share a minimiser travel as
+one piece of text. Most minimisers occur in one document; a first exchange, of four bytes a piece, finds those that occur in
+several, and only their pieces travel.
 Equal pieces are one piece with the smallest doc_id, within a block of documents and again where blocks meet.
 """
 
